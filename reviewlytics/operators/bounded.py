@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 MAX_LITERAL_KEYS = 1_000
@@ -10,6 +11,12 @@ MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few literal rows as a local relation, whose size the optimizer knows."""
+    columns = [column.split()[0] for column in schema.split(", ")]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=columns), schema)
+
+
 def rows_within(df: DataFrame, bound: int) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``bound`` of them, else None."""
     rows = df.limit(bound + 1).collect()
@@ -17,19 +24,28 @@ def rows_within(df: DataFrame, bound: int) -> list[Row] | None:
 
 
 def restrict_to_keys(
-    tables: list[DataFrame], key: str, keys: DataFrame, bound: int = MAX_LITERAL_KEYS
+    tables: list[DataFrame],
+    key: str,
+    keys: DataFrame,
+    exclude: bool = False,
+    literal_bound: int = MAX_LITERAL_KEYS,
+    broadcast_bound: int = MAX_BROADCAST_ROWS,
 ) -> list[DataFrame]:
-    """The rows of each table whose ``key`` occurs in ``keys``.
+    """The rows of each table whose ``key`` occurs (``exclude``: does not occur) in ``keys``.
 
     A few keys become an IN list, which Catalyst pushes through aggregates down to the scan
-    (row groups are skipped when the table is sorted by the key). Many keys become a semi join.
+    (row groups are skipped when the table is sorted by the key). More keys are broadcast, so
+    the tables stay in place. Only beyond that do both sides shuffle.
     """
-    distinct = keys.select(key).distinct()
-    found = rows_within(distinct, bound)
-    if found is None:
-        return [df.join(distinct, key, "left_semi") for df in tables]
-    values = [row[0] for row in found]
-    return [df.filter(F.col(key).isin(values)) for df in tables]
+    distinct = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    found = rows_within(distinct, literal_bound)
+    if found is not None:
+        listed = F.col(key).isin([row[0] for row in found])
+        wanted = ~F.coalesce(listed, F.lit(False)) if exclude else listed
+        return [df.filter(wanted) for df in tables]
+    small = distinct.limit(broadcast_bound + 1).count() <= broadcast_bound
+    how = "left_anti" if exclude else "left_semi"
+    return [df.join(F.broadcast(distinct) if small else distinct, key, how) for df in tables]
 
 
 def join_dimension(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.clean import empty_to_null
-from reviewlytics.operators.bounded import join_dimension
+from reviewlytics.operators.bounded import join_dimension, restrict_to_keys
 from reviewlytics.operators.ids import assign_ids, last_id, unique_ids
 from reviewlytics.schema import RATING_TYPE, WEIGHT_TYPE, Model
 
@@ -121,7 +121,8 @@ def _bad_rating(rating: Column) -> Column:
 def append_reviews(m: Model, new: DataFrame, today: datetime.date | None = None) -> Appended:
     """Add reviews by exact hotel name (hotel_name, review_text, reviewer_name, review_date,
     overall_rating). A missing date becomes ``today``. An unknown hotel, a name two hotels
-    share, a missing text and a rating outside 1..5 are rejected."""
+    share, a missing text and a rating outside 1..5 are rejected. Write the accepted rows
+    before anything refers to their ids."""
     lookup = m.hotel.groupBy("hotel_name").agg(
         F.min("hotel_id").alias("hotel_id"), F.count(F.lit(1)).alias("_hotels")
     )
@@ -164,7 +165,9 @@ def append_hotels_with_review(
         "hotel_id", "review_text", "reviewer_name", day.alias("review_date"),
         F.lit(None).cast(RATING_TYPE).alias("overall_rating"),
     )
-    reviews = unique_ids(first, "review_id", last_id(m.review, "review_id")).select(*m.review.columns)
+    reviews = assign_ids(
+        first, "review_id", ["hotel_id"], last_id(m.review, "review_id")
+    ).select(*m.review.columns)
     keys, one = ["hotel_name", "city"], F.lit(1)
     rejected = duplicates.unionByName(
         _rejected(new.filter(missing), keys, "missing name", one)
@@ -187,7 +190,7 @@ def validate(m: Model) -> DataFrame:
         )
 
     def null(table: str, df: DataFrame, key: str, *columns: str):
-        for column in columns:
+        for column in (key, *columns):
             report(table, f"{column} not null", df.filter(F.col(column).isNull()), [key])
 
     def unique(table: str, df: DataFrame, *columns: str):
@@ -196,8 +199,12 @@ def validate(m: Model) -> DataFrame:
         report(table, f"{', '.join(columns)} unique", repeated, list(columns), F.col("n"))
 
     def child(table: str, df: DataFrame, column: str, parent: DataFrame):
-        orphans = df.select(column).join(parent.select(column), column, "left_anti")
-        report(table, f"{column} exists", orphans, [column])
+        # Counted per key before the join: one parent may have a large share of the children.
+        per_key = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
+            F.count(F.lit(1)).alias("n")
+        )
+        orphans = per_key.join(parent.select(column), column, "left_anti")
+        report(table, f"{column} exists", orphans, [column], F.col("n"))
 
     rating_range = f"between {LOWEST_RATING} and {HIGHEST_RATING}"
     null("hotel", m.hotel, "hotel_id", "hotel_name")
@@ -229,24 +236,18 @@ def validate(m: Model) -> DataFrame:
     return violations
 
 
-def _without(df: DataFrame | None, deleted: DataFrame, key: str) -> DataFrame | None:
-    return None if df is None else df.join(deleted.select(key).distinct(), key, "left_anti")
-
-
 def cascade_delete(
     m: Model, hotels: DataFrame | None = None, features: DataFrame | None = None
 ) -> Model:
     """Delete hotels (hotel_id) and features (feature_id) with everything that refers to them."""
+
+    def without(m: Model, key: str, deleted: DataFrame, *names: str) -> Model:
+        present = [n for n in names if getattr(m, n) is not None]
+        kept = restrict_to_keys([getattr(m, n) for n in present], key, deleted, exclude=True)
+        return m.with_(**dict(zip(present, kept)))
+
     if hotels is not None:
-        m = m.with_(
-            hotel=_without(m.hotel, hotels, "hotel_id"),
-            review=_without(m.review, hotels, "hotel_id"),
-            rating=_without(m.rating, hotels, "hotel_id"),
-        )
+        m = without(m, "hotel_id", hotels, "hotel", "review", "rating")
     if features is not None:
-        m = m.with_(
-            feature=_without(m.feature, features, "feature_id"),
-            seed=_without(m.seed, features, "feature_id"),
-            rating=_without(m.rating, features, "feature_id"),
-        )
+        m = without(m, "feature_id", features, "feature", "seed", "rating")
     return m

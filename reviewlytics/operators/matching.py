@@ -21,10 +21,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.text import fold_text, ignore_case
+from reviewlytics.operators.bounded import rows_within
 
 HIT = "struct<seed_id:bigint,feature_id:bigint,weight:bigint,mentions:bigint>"
 
@@ -66,23 +67,28 @@ def seed_batches(seed: DataFrame, limits: MatchLimits = MatchLimits()) -> Iterat
     )
     use_automaton = _automaton_available()
     room = limits.plain_per_pass if use_automaton else limits.regexes_per_pass
-    total = rows.count()
-    parts = max(1, -(-total // room))
+    everything = rows_within(rows, room)
+    if everything is not None:
+        yield from _split(everything, use_automaton, limits)
+        return
+    parts = -(-rows.count() // room)
     for part in range(parts):
-        mine = rows
-        if parts > 1:
-            mine = rows.filter(F.pmod(F.xxhash64("seed_id"), F.lit(parts)) == part)
-        plain, regexes = [], []
-        for row in mine.collect():
-            is_plain = use_automaton and _PLAIN.fullmatch(row.seed_phrase)
-            (plain if is_plain else regexes).append(tuple(row))
-        if len(plain) < limits.automaton_from:
-            regexes, plain = plain + regexes, []
-        folded = tuple((phrase.lower(), *rest) for phrase, *rest in plain)
-        step = limits.regexes_per_pass
-        yield SeedBatch(folded, tuple(regexes[:step]))
-        for start in range(step, len(regexes), step):
-            yield SeedBatch((), tuple(regexes[start : start + step]))
+        mine = rows.filter(F.pmod(F.xxhash64("seed_id"), F.lit(parts)) == part)
+        yield from _split(mine.collect(), use_automaton, limits)
+
+
+def _split(rows: list[Row], use_automaton: bool, limits: MatchLimits) -> Iterator[SeedBatch]:
+    plain, regexes = [], []
+    for row in rows:
+        is_plain = use_automaton and _PLAIN.fullmatch(row.seed_phrase)
+        (plain if is_plain else regexes).append(tuple(row))
+    if len(plain) < limits.automaton_from:
+        regexes, plain = plain + regexes, []
+    folded = tuple((phrase.lower(), *rest) for phrase, *rest in plain)
+    step = limits.regexes_per_pass
+    yield SeedBatch(folded, tuple(regexes[:step]))
+    for start in range(step, len(regexes), step):
+        yield SeedBatch((), tuple(regexes[start : start + step]))
 
 
 def _count_matches(automaton, folded: str) -> dict[int, int]:
@@ -150,7 +156,10 @@ def _attach(review: DataFrame, batch: SeedBatch, keep: list[str], text: str) ->
 
 
 def _long_form(attached: DataFrame, keep: list[str]) -> DataFrame:
-    return attached.select(*keep, F.inline("hits"))
+    # A plain inline makes the optimizer filter on size(hits) > 0 further down, which finds
+    # all hits twice. The outer form does not; its row for a text without hits is dropped here.
+    rows = attached.select(*keep, F.inline_outer("hits"))
+    return rows.filter(F.col("seed_id").isNotNull())
 
 
 def match_seeds(
@@ -199,4 +208,5 @@ def sentiment_per_feature(
             ).alias("sentiment"),
         ),
     )
-    return attached.select(*keep, F.inline(per_feature))
+    rows = attached.select(*keep, F.inline_outer(per_feature))
+    return rows.filter(F.col("feature_id").isNotNull())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.text import VALENCE_PLACES
+from reviewlytics.operators.bounded import local_rows
 from reviewlytics.operators.dictionary import (
     Dictionary,
     collect_dictionary,
@@ -35,7 +36,7 @@ ASPECTS = tuple(ASPECT_KEYWORDS)
 def default_aspect_keywords(spark: SparkSession) -> DataFrame:
     """(aspect, keyword)"""
     rows = [(a, k) for a, words in ASPECT_KEYWORDS.items() for k in words.split(", ")]
-    return spark.createDataFrame(rows, "aspect string, keyword string")
+    return local_rows(spark, rows, "aspect string, keyword string")
 
 
 def keyword_lemmas(aspect_keyword: DataFrame, token_lemma: DataFrame | None = None) -> DataFrame:

@@ -137,5 +137,5 @@ def refresh_hotels(m: Model, touched: DataFrame, **options) -> DataFrame:
     keys = touched.select("hotel_id").distinct()
     hotel, review = restrict_to_keys([m.hotel, m.review], "hotel_id", keys)
     part = m.with_(hotel=hotel, review=review)
-    kept = m.rating.join(keys, "hotel_id", "left_anti")
+    [kept] = restrict_to_keys([m.rating], "hotel_id", keys, exclude=True)
     return kept.unionByName(calc_ratings(part, **options))

@@ -12,6 +12,7 @@ from reviewlytics import schema as S
 from reviewlytics.functions.clean import na_to_number, parse_review_date, seed_weight
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids, unique_ids
+from reviewlytics.operators.lineage import cut_lineage
 from reviewlytics.schema import Model
 
 RAW_FILES = {
@@ -146,11 +147,12 @@ def load_tables(spark: SparkSession, csv_root: str, root: str) -> Model:
     return reload_tables(spark, root, **raw)
 
 
-def write_ratings(rating: DataFrame, root: str) -> DataFrame:
+def write_ratings(rating: DataFrame, root: str, from_stored: bool = False) -> DataFrame:
     """Replace the Rating table in one job; returns the stored table.
 
-    ``rating`` may be computed from the other tables, not from the stored ratings.
+    ``from_stored`` says that ``rating`` is partly read from the table to be replaced, as after
+    a refresh of some hotels: it is then checkpointed first.
     """
     path = _table_path(root, "rating")
-    _write(unique_ids(rating, "rating_id"), path)
+    _write(unique_ids(cut_lineage(rating) if from_stored else rating, "rating_id"), path)
     return rating.sparkSession.read.parquet(path)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import datetime
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.clean import seed_weight
+from reviewlytics.operators.bounded import local_rows
 from reviewlytics.operators.ids import assign_ids
 from reviewlytics.plans.aspects import WordTables
 from reviewlytics.plans.scoring import calc_ratings
@@ -35,10 +35,6 @@ FEATURES = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores if the input is one small file; large inputs are left as they lie."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -47,14 +43,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder of the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = os.path.join("/tmp", "reviewlytics-scratch")
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
-
-
 def per_type(position: int) -> Column:
     choice = F.when(F.lit(False), F.lit(FEATURES["SMALL"][position]))
     for part_type, values in FEATURES.items():
@@ -66,9 +54,13 @@ class Binding:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            path = os.path.join(self.sf_dir, f"{name}.parquet")
+            self._tables[name] = self.spark.read.parquet(path)
+        return self._tables[name]
 
     # hotels -------------------------------------------------------------------------------
 
@@ -132,8 +124,8 @@ class Binding:
             .groupBy("feature_id", "seed_phrase")
             .agg(text.alias("weight"))
         )
-        given = self.spark.createDataFrame(
-            W.SEED_PHRASES, "feature_id bigint, seed_phrase string, weight string"
+        given = local_rows(
+            self.spark, W.SEED_PHRASES, "feature_id bigint, seed_phrase string, weight string"
         )
         return from_parts.unionByName(given)
 
@@ -205,15 +197,17 @@ class Binding:
         )
 
     def word_tables(self) -> WordTables:
-        make = self.spark.createDataFrame
+        def rows(values, schema: str) -> DataFrame:
+            return local_rows(self.spark, values, schema)
+
         return WordTables(
-            aspect_keyword=make(W.ASPECT_KEYWORDS, "aspect string, keyword string"),
-            lexicon=make(W.LEXICON, "token string, valence string").withColumn(
+            aspect_keyword=rows(W.ASPECT_KEYWORDS, "aspect string, keyword string"),
+            lexicon=rows(W.LEXICON, "token string, valence string").withColumn(
                 "valence", F.col("valence").cast("decimal(9,4)")
             ),
-            stop_word=make([(w,) for w in W.STOP_WORDS], "token string"),
-            token_lemma=make(W.LEMMAS, "token string, lemma string"),
-            token_tag=make(W.TAGS, "token string, tag string"),
+            stop_word=rows([(w,) for w in W.STOP_WORDS], "token string"),
+            token_lemma=rows(W.LEMMAS, "token string, lemma string"),
+            token_tag=rows(W.TAGS, "token string, tag string"),
         )
 
 

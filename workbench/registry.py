@@ -15,12 +15,13 @@ from reviewlytics.functions.text import phrase_count, sentences, words
 from reviewlytics.operators import maintenance
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids
+from reviewlytics.operators.lineage import scratch_folder
 from reviewlytics.plans import mining, scoring, search, sentiment, views
 from reviewlytics.plans.aspects import ASPECTS, WordLookups, keyword_lemmas
 from reviewlytics.schema import RATING_TYPE, Model
 from reviewlytics.sources import exports, review_files, tables
 from workbench import oracle as O
-from workbench.binding import UPDATED, Binding, one_line, per_type, review_file, scratch_dir
+from workbench.binding import UPDATED, Binding, one_line, per_type, review_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -782,7 +783,7 @@ def raw_tables(b: Binding) -> dict[str, DataFrame]:
 @register("load_tables", O.query(LOADED_REVIEW_SQL.replace("hotel_id, hotel_name, review_text", "hotel_name, review_text")))
 def load_tables(b: Binding) -> DataFrame:
     """Raw rows to CSV files, the files to tables, and the stored reviews back."""
-    root = scratch_dir(b.spark, "load")
+    root = scratch_folder(b.spark, "load")
     for name, rows in raw_tables(b).items():
         tables.write_csv(rows, f"{root}/csv/{name}")
     m = tables.load_tables(b.spark, f"{root}/csv", f"{root}/tables")
@@ -800,7 +801,7 @@ def load_tables(b: Binding) -> DataFrame:
     ),
 )
 def reload_tables(b: Binding) -> DataFrame:
-    m = tables.reload_tables(b.spark, scratch_dir(b.spark, "reload"), **raw_tables(b))
+    m = tables.reload_tables(b.spark, scratch_folder(b.spark, "reload"), **raw_tables(b))
     frames = {name: getattr(m, name) for name in ("hotel", "feature", "seed", "review", "rating")}
     counts = None
     for name, frame in frames.items():
@@ -811,7 +812,7 @@ def reload_tables(b: Binding) -> DataFrame:
 
 @register("write_ratings", O.query(RATING_SQL))
 def write_ratings(b: Binding) -> DataFrame:
-    return rating_rows(tables.write_ratings(b.model().rating, scratch_dir(b.spark, "rating")))
+    return rating_rows(tables.write_ratings(b.model().rating, scratch_folder(b.spark, "rating")))
 
 
 # --- review files ----------------------------------------------------------------------------
@@ -827,7 +828,7 @@ def file_lines(b: Binding) -> DataFrame:
 
 
 def stored_files(b: Binding) -> str:
-    root = scratch_dir(b.spark, "files")
+    root = scratch_folder(b.spark, "files")
     file_lines(b).write.partitionBy("dir").text(root)
     return root
 
@@ -1020,7 +1021,7 @@ ONE_LINE_FILE = O.CTES["file"].replace(
 )
 def write_review_sentiment(b: Binding) -> DataFrame:
     reviews = b.mined_reviews().drop("doc_id", "file").withColumn("review", one_line(F.col("review")))
-    path = scratch_dir(b.spark, "sentiment")
+    path = scratch_folder(b.spark, "sentiment")
     exports.write_review_sentiment(sentiment.review_sentiment(reviews, b.word_tables()), path)
     return tables.read_csv(b.spark, path, exports.SENTIMENT_SCHEMA)
 
@@ -1082,7 +1083,7 @@ def seed_terms(b: Binding) -> DataFrame:
     ),
 )
 def write_seeds(b: Binding) -> DataFrame:
-    root = scratch_dir(b.spark, "seeds")
+    root = scratch_folder(b.spark, "seeds")
     by_file = mining.phrase_scores_by_file(b.mined_reviews(), b.word_tables(), FILE_KEYS)
     exports.write_seeds(
         mining.merge_files(by_file), f"{root}/seeds", mining.by_hotel_rows(by_file), f"{root}/by_hotel"
@@ -1114,12 +1115,13 @@ MINED_TABLES = _late(
 
 @register("mined_seed_ratings", O.query_over(MINED_TABLES, RATING_SQL))
 def mined_seed_ratings(b: Binding) -> DataFrame:
+    """The mined seeds are handed over as a file, as the exporter writes it."""
     m = b.model(rating=False)
-    mined = mining.seed_terms(b.mined_reviews(), b.word_tables())
-    raw = mined.withColumn("weight", F.format_string("%.4f", "weight"))
-    return rating_rows(
-        scoring.calc_ratings(m.with_(seed=tables.load_seeds(raw, m.feature)), updated=UPDATED)
-    )
+    path = scratch_folder(b.spark, "mined")
+    exports.write_seeds(mining.seed_terms(b.mined_reviews(), b.word_tables()), path)
+    raw = tables.read_csv(b.spark, path, exports.SEED_SCHEMA)
+    seed = tables.load_seeds(raw, m.feature)
+    return rating_rows(scoring.calc_ratings(m.with_(seed=seed), updated=UPDATED))
 
 
 # --- table maintenance -----------------------------------------------------------------------
