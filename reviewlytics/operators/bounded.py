@@ -53,20 +53,18 @@ def join_dimension(
     dimension: DataFrame,
     on: str,
     how: str = "inner",
-    salt_by: str | None = None,
     max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Join a fact table to a narrow dimension (``how``: inner or left).
 
     Up to ``max_rows`` dimension rows are broadcast, so the fact rows stay where they are.
-    Beyond that both sides shuffle; the fact side is salted by ``salt_by`` because one key may
-    hold a large share of it, and the dimension is repeated once per salt.
+    Beyond that both sides shuffle. One key, or copies of one row, may make up a large share of
+    the fact table, so its rows are salted by their position (stable for rows that come from a
+    scan) and the dimension is repeated once per salt.
     """
     if dimension.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dimension), on, how)
-    if salt_by is None:
-        return fact.join(dimension, on, how)
-    salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
+    salted_fact = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     salted_dimension = dimension.withColumn("_salt", F.explode(salts))
     return salted_fact.join(salted_dimension, [on, "_salt"], how).drop("_salt")

@@ -95,7 +95,7 @@ def append_seeds(m: Model, new: DataFrame) -> Appended:
     """Add seeds (feature_name, seed_phrase, weight): the feature must exist, the weight must be
     1 or -1, and a phrase may occur once per feature."""
     names = m.feature.select("feature_id", "feature_name")
-    located = join_dimension(new.select("feature_name", "seed_phrase", "weight"), names, "feature_name", "left", "seed_phrase")
+    located = join_dimension(new.select("feature_name", "seed_phrase", "weight"), names, "feature_name", "left")
     keys = ["feature_name", "seed_phrase"]
     unknown = F.col("feature_id").isNull()
     bad_weight = ~unknown & ~F.coalesce(F.col("weight").isin(*SEED_WEIGHTS), F.lit(False))
@@ -126,7 +126,7 @@ def append_reviews(m: Model, new: DataFrame, today: datetime.date | None = None)
     lookup = m.hotel.groupBy("hotel_name").agg(
         F.min("hotel_id").alias("hotel_id"), F.count(F.lit(1)).alias("_hotels")
     )
-    located = join_dimension(new, lookup, "hotel_name", "left", "review_text").withColumn(
+    located = join_dimension(new, lookup, "hotel_name", "left").withColumn(
         "_reason",
         F.when(F.col("hotel_id").isNull(), "unknown hotel")
         .when(F.col("_hotels") > 1, "ambiguous hotel")

@@ -126,19 +126,19 @@ def hotel_feature_grid(b: Binding) -> DataFrame:
     return scoring.hotel_feature_grid(b.hotel(), b.feature())
 
 
-# Reviews to add: the user turns of all conversations, spread over the hotels' names.
+# Reviews to add: all turns of all conversations, spread over the hotels' names.
 NEW_REVIEW_SQL = """
     SELECT 'Supplier#' || lpad(CAST(conv_id % 7 * 3 AS VARCHAR), 9, '0') AS hotel_name,
            text AS review_text, CAST(NULL AS VARCHAR) AS reviewer_name,
            CASE WHEN turn > 0 THEN DATE '2025-02-01' + CAST(turn AS INTEGER) END AS review_date,
            CAST((conv_id % 12) * 0.5 AS DECIMAL(2,1)) AS overall_rating
-    FROM conversations WHERE role = 'user'"""
+    FROM conversations"""
 
 
 def new_reviews(b: Binding) -> DataFrame:
     name = F.concat(F.lit("Supplier#"), F.lpad((F.col("conv_id") % 7 * 3).cast("string"), 9, "0"))
     later = F.date_add(F.lit(datetime.date(2025, 2, 1)), F.col("turn").cast("int"))
-    return b.table("conversations").filter("role = 'user'").select(
+    return b.table("conversations").select(
         name.alias("hotel_name"), F.col("text").alias("review_text"),
         F.lit(None).cast("string").alias("reviewer_name"),
         F.when(F.col("turn") > 0, later).alias("review_date"),
@@ -554,7 +554,7 @@ def rating_feature_join(b: Binding) -> DataFrame:
 )
 def review_hotel_join(b: Binding) -> DataFrame:
     names = b.hotel().select("hotel_id", "hotel_name")
-    return join_dimension(b.review(), names, "hotel_id", salt_by="review_id").select(
+    return join_dimension(b.review(), names, "hotel_id").select(
         "review_id", "hotel_name", "reviewer_name", double("overall_rating")
     )
 
