@@ -8,6 +8,7 @@ and no token is ever exploded or shuffled.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.operators.bounded import rows_within
 
-MAX_DICTIONARY_ROWS = 500_000
+MAX_DICTIONARY_ROWS = 200_000
 _ROWS_PER_BUCKET = 2
 _MAX_IN_LIST = 1_000
 
@@ -24,16 +25,6 @@ class DictionaryTooLarge(ValueError):
     """More rows than a word list can sensibly have."""
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _sql_value(value) -> str:
-    if isinstance(value, (list, tuple)):
-        return "array(" + ", ".join(_quoted(v) for v in value) + ")"
-    return _quoted(value) if isinstance(value, str) else str(value)
-
-
 class Dictionary:
     """Word -> value lookup. ``value_type`` is the Spark SQL type of a value."""
 
@@ -45,15 +36,11 @@ class Dictionary:
         for word in entries:
             buckets[hashes[word] % size].append(word)
         self._size = size
-        maps = []
-        for bucket in range(size):
-            pairs = [f"'', CAST(NULL AS {value_type})"]
-            pairs += [
-                f"{_quoted(w)}, CAST({_sql_value(entries[w])} AS {value_type})"
-                for w in buckets[bucket]
-            ]
-            maps.append("map(" + ", ".join(pairs) + ")")
-        self._table = "array(" + ", ".join(maps) + ")"
+        # One JSON literal, which the optimizer folds into the array once: an expression per
+        # entry would take longer to analyse than to run.
+        self._json = json.dumps(
+            [{word: entries[word] for word in buckets[bucket]} for bucket in range(size)]
+        )
 
     def __len__(self) -> int:
         return len(self.entries)
@@ -63,7 +50,8 @@ class Dictionary:
         if not self.entries:
             return F.lit(None).cast(self.value_type)
         slot = F.pmod(F.hash(word), F.lit(self._size))
-        return F.try_element_at(F.get(F.expr(self._table), slot), word)
+        table = F.from_json(F.lit(self._json), f"array<map<string,{self.value_type}>>")
+        return F.try_element_at(F.get(table, slot), word)
 
     def contains(self, word: Column) -> Column:
         if not self.entries:

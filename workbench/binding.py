@@ -12,9 +12,10 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from reviewlytics.functions.clean import seed_weight
-from reviewlytics.operators.bounded import local_rows
+from reviewlytics.operators.bounded import join_dimension, local_rows
 from reviewlytics.operators.ids import assign_ids
 from reviewlytics.plans.aspects import WordTables
 from reviewlytics.plans.scoring import calc_ratings
@@ -24,6 +25,9 @@ from workbench import words as W
 
 UPDATED = datetime.date(2025, 1, 1)
 
+# Schemas already read from footers, as a catalog would hold them.
+_SCHEMAS: dict[str, StructType] = {}
+
 # part type -> (feature_id, feature_name, is_active)
 FEATURES = {
     "SMALL": (1, "Cleanliness", "Y"),
@@ -59,7 +63,11 @@ class Binding:
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
             path = os.path.join(self.sf_dir, f"{name}.parquet")
-            self._tables[name] = self.spark.read.parquet(path)
+            reader = self.spark.read
+            if path in _SCHEMAS:
+                reader = reader.schema(_SCHEMAS[path])
+            self._tables[name] = reader.parquet(path)
+            _SCHEMAS[path] = self._tables[name].schema
         return self._tables[name]
 
     # hotels -------------------------------------------------------------------------------
@@ -171,7 +179,7 @@ class Binding:
             .otherwise(F.date_format(date, "dd.MM.yyyy"))
         )
         hotels = self.hotel().select("hotel_id", "hotel_name")
-        return self.review().join(hotels, "hotel_id").select(
+        return join_dimension(self.review(), hotels, "hotel_id").select(
             "hotel_name",
             one_line(F.col("review_text")).alias("review_text"),
             "reviewer_name",
