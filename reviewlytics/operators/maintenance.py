@@ -7,6 +7,7 @@ copies of one row makes one line and no hot group.
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -79,12 +80,12 @@ def _dedupe(new: DataFrame, existing: DataFrame, keys: list[str]):
 
 def append_features(m: Model, new: DataFrame) -> Appended:
     """Add features (feature_name, description); a name already present is rejected."""
-    named = new.select(
-        "feature_name",
-        F.col("description") if "description" in new.columns else F.lit(None).cast("string").alias("description"),
-    )
-    unnamed = named.filter(F.col("feature_name").isNull())
-    fresh, rejected = _dedupe(named.filter(F.col("feature_name").isNotNull()), m.feature, ["feature_name"])
+    described = "description" in new.columns
+    description = F.col("description") if described else F.lit(None).cast("string")
+    rows = new.select("feature_name", description.alias("description"))
+    unnamed = rows.filter(F.col("feature_name").isNull())
+    named = rows.filter(F.col("feature_name").isNotNull())
+    fresh, rejected = _dedupe(named, m.feature, ["feature_name"])
     numbered = assign_ids(fresh, "feature_id", ["feature_name"], last_id(m.feature, "feature_id"))
     accepted = numbered.withColumn("is_active", F.lit("Y")).select(*m.feature.columns)
     missing = _rejected(unnamed, ["feature_name"], "missing name", F.lit(1))
@@ -95,7 +96,8 @@ def append_seeds(m: Model, new: DataFrame) -> Appended:
     """Add seeds (feature_name, seed_phrase, weight): the feature must exist, the weight must be
     1 or -1, and a phrase may occur once per feature."""
     names = m.feature.select("feature_id", "feature_name")
-    located = join_dimension(new.select("feature_name", "seed_phrase", "weight"), names, "feature_name", "left")
+    wanted = new.select("feature_name", "seed_phrase", "weight")
+    located = join_dimension(wanted, names, "feature_name", "left")
     keys = ["feature_name", "seed_phrase"]
     unknown = F.col("feature_id").isNull()
     bad_weight = ~unknown & ~F.coalesce(F.col("weight").isin(*SEED_WEIGHTS), F.lit(False))
@@ -139,7 +141,8 @@ def append_reviews(m: Model, new: DataFrame, today: datetime.date | None = None)
         F.coalesce("review_date", day).alias("review_date"),
         F.col("overall_rating").cast(RATING_TYPE).alias("overall_rating"),
     )
-    accepted = unique_ids(good, "review_id", last_id(m.review, "review_id")).select(*m.review.columns)
+    numbered = unique_ids(good, "review_id", last_id(m.review, "review_id"))
+    accepted = numbered.select(*m.review.columns)
     rejected = (
         located.filter(F.col("_reason").isNotNull())
         .groupBy(F.col("hotel_name").alias("key"), F.col("_reason").alias("reason"))
@@ -159,7 +162,8 @@ def append_hotels_with_review(
     usable = new.filter(~missing & ~bad_star)
     fresh, duplicates = _dedupe(usable, m.hotel, ["hotel_name", "city"])
     numbered = assign_ids(fresh, "hotel_id", ["hotel_name", "city"], last_id(m.hotel, "hotel_id"))
-    hotels = numbered.withColumn("star_rating", F.col("star_rating").cast(RATING_TYPE)).select(*m.hotel.columns)
+    star = F.col("star_rating").cast(RATING_TYPE)
+    hotels = numbered.withColumn("star_rating", star).select(*m.hotel.columns)
     day = F.lit(today) if today else F.current_date()
     first = numbered.filter(empty_to_null(F.col("review_text")).isNotNull()).select(
         "hotel_id", "review_text", "reviewer_name", day.alias("review_date"),
@@ -177,63 +181,81 @@ def append_hotels_with_review(
     )
 
 
+def _row_violations(table: str, df: DataFrame, keys: list[str], rules: dict[str, Column]):
+    """Rows that break a rule, for all rules of a table in one scan."""
+    broken = F.array_compact(F.array(*[F.when(bad, rule) for rule, bad in rules.items()]))
+    return (
+        df.select(_key_text(keys), F.explode(broken).alias("rule"))
+        .groupBy("rule", "key")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(table).alias("table"), "rule", "key", "rows")
+    )
+
+
+def _repeated(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Keys held by more than one row; a key without any value is none."""
+    has_value = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+    repeated = (
+        df.filter(has_value).groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    )
+    rule = F.lit(f"{', '.join(columns)} unique").alias("rule")
+    return repeated.select(F.lit(table).alias("table"), rule, _key_text(columns), "rows")
+
+
+def _orphans(table: str, df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
+    """References to no parent, counted per key before the join: one parent may have a large
+    share of the children."""
+    per_key = (
+        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    )
+    lost = per_key.join(parent.select(column), column, "left_anti")
+    rule = F.lit(f"{column} exists").alias("rule")
+    return lost.select(F.lit(table).alias("table"), rule, _key_text([column]), "rows")
+
+
 def validate(m: Model) -> DataFrame:
     """Violations of the table constraints: table, rule, key, rows. Empty if all hold."""
-    checks = []
-
-    def report(table: str, rule: str, bad: DataFrame, keys: list[str], rows: Column | None = None):
-        count = F.sum(rows) if rows is not None else F.count(F.lit(1))
-        checks.append(
-            bad.groupBy(_key_text(keys)).agg(count.alias("rows")).select(
-                F.lit(table).alias("table"), F.lit(rule).alias("rule"), "key", "rows"
-            )
-        )
-
-    def null(table: str, df: DataFrame, key: str, *columns: str):
-        for column in (key, *columns):
-            report(table, f"{column} not null", df.filter(F.col(column).isNull()), [key])
-
-    def unique(table: str, df: DataFrame, *columns: str):
-        keyed = df.filter(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull())
-        repeated = keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        report(table, f"{', '.join(columns)} unique", repeated, list(columns), F.col("n"))
-
-    def child(table: str, df: DataFrame, column: str, parent: DataFrame):
-        # Counted per key before the join: one parent may have a large share of the children.
-        per_key = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        orphans = per_key.join(parent.select(column), column, "left_anti")
-        report(table, f"{column} exists", orphans, [column], F.col("n"))
-
-    rating_range = f"between {LOWEST_RATING} and {HIGHEST_RATING}"
-    null("hotel", m.hotel, "hotel_id", "hotel_name")
-    unique("hotel", m.hotel, "hotel_id")
-    unique("hotel", m.hotel, "hotel_name", "city")
-    if "star_rating" in m.hotel.columns:
-        report("hotel", f"star_rating {rating_range}", m.hotel.filter(_bad_rating(F.col("star_rating"))), ["hotel_id"])
-    null("feature", m.feature, "feature_id", "feature_name")
-    unique("feature", m.feature, "feature_id")
-    unique("feature", m.feature, "feature_name")
-    report("feature", "is_active in Y, N", m.feature.filter(~F.col("is_active").isin(*ACTIVE_FLAGS)), ["feature_id"])
-    null("seed", m.seed, "seed_id", "feature_id", "seed_phrase", "weight")
-    unique("seed", m.seed, "seed_id")
-    unique("seed", m.seed, "feature_id", "seed_phrase")
-    child("seed", m.seed, "feature_id", m.feature)
-    null("review", m.review, "review_id", "hotel_id", "review_text")
-    unique("review", m.review, "review_id")
-    child("review", m.review, "hotel_id", m.hotel)
-    report("review", f"overall_rating {rating_range}", m.review.filter(_bad_rating(F.col("overall_rating"))), ["review_id"])
+
+    def missing(*columns: str) -> dict[str, Column]:
+        return {f"{c} not null": F.col(c).isNull() for c in columns}
+
+    def out_of_range(column: str) -> dict[str, Column]:
+        rule = f"{column} between {LOWEST_RATING} and {HIGHEST_RATING}"
+        return {rule: _bad_rating(F.col(column))}
+
+    stars = out_of_range("star_rating") if "star_rating" in m.hotel.columns else {}
+    flag = {"is_active in Y, N": ~F.col("is_active").isin(*ACTIVE_FLAGS)}
+    found = [
+        _row_violations("hotel", m.hotel, ["hotel_id"], missing("hotel_id", "hotel_name") | stars),
+        _repeated("hotel", m.hotel, ["hotel_id"]),
+        _repeated("hotel", m.hotel, ["hotel_name", "city"]),
+        _row_violations(
+            "feature", m.feature, ["feature_id"], missing("feature_id", "feature_name") | flag
+        ),
+        _repeated("feature", m.feature, ["feature_id"]),
+        _repeated("feature", m.feature, ["feature_name"]),
+        _row_violations(
+            "seed", m.seed, ["seed_id"], missing("seed_id", "feature_id", "seed_phrase", "weight")
+        ),
+        _repeated("seed", m.seed, ["seed_id"]),
+        _repeated("seed", m.seed, ["feature_id", "seed_phrase"]),
+        _orphans("seed", m.seed, "feature_id", m.feature),
+        _row_violations(
+            "review", m.review, ["review_id"],
+            missing("review_id", "hotel_id", "review_text") | out_of_range("overall_rating"),
+        ),
+        _repeated("review", m.review, ["review_id"]),
+        _orphans("review", m.review, "hotel_id", m.hotel),
+    ]
     if m.rating is not None:
         pair = ["hotel_id", "feature_id"]
-        report("rating", "score not null", m.rating.filter(F.col("score").isNull()), pair)
-        unique("rating", m.rating, *pair)
-        child("rating", m.rating, "hotel_id", m.hotel)
-        child("rating", m.rating, "feature_id", m.feature)
-    violations = checks[0]
-    for check in checks[1:]:
-        violations = violations.unionByName(check)
-    return violations
+        found += [
+            _row_violations("rating", m.rating, pair, missing(*pair, "score")),
+            _repeated("rating", m.rating, pair),
+            _orphans("rating", m.rating, "hotel_id", m.hotel),
+            _orphans("rating", m.rating, "feature_id", m.feature),
+        ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def cascade_delete(

@@ -28,7 +28,9 @@ def write_review_sentiment(sentiment: DataFrame, path: str) -> None:
     write_csv(sentiment.select(*columns), path)
 
 
-def write_seeds(seeds: DataFrame, path: str, by_hotel: DataFrame | None = None, by_hotel_path: str = "") -> None:
+def write_seeds(
+    seeds: DataFrame, path: str, by_hotel: DataFrame | None = None, by_hotel_path: str = ""
+) -> None:
     """Merged seeds and, if a second path is given, the seeds of every file."""
     write_csv(_seed_rows(seeds, SEED_COLUMNS), path)
     if by_hotel is not None and by_hotel_path:

@@ -28,6 +28,8 @@ def root(tmp_path_factory):
     put("new-york/deep/er.txt", "d\ts\ttoo deep")
     with gzip.open(base / "old.gz", "wt") as f:
         f.write("d\ts\tgz")
+    # Archives are pruned from the scan: reading this one would fail.
+    put("new-york/broken.gz", "no gzip at all")
     return str(base)
 
 
