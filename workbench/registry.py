@@ -780,7 +780,7 @@ def raw_tables(b: Binding) -> dict[str, DataFrame]:
     }
 
 
-@register("load_tables", O.query(LOADED_REVIEW_SQL.replace("hotel_id, hotel_name, review_text", "hotel_name, review_text")))
+@register("load_tables", O.query(LOADED_REVIEW_SQL.replace("SELECT hotel_id, ", "SELECT ", 1)))
 def load_tables(b: Binding) -> DataFrame:
     """Raw rows to CSV files, the files to tables, and the stored reviews back."""
     root = scratch_folder(b.spark, "load")
@@ -823,7 +823,9 @@ def file_lines(b: Binding) -> DataFrame:
     extra = F.when(F.col("doc_id") % 3 == 0, "\tmore").otherwise("")
     return b.documents().select(
         F.concat(F.lit("region_"), F.length("source").cast("string")).alias("dir"),
-        F.concat(F.lit("2024-05-01\t"), F.col("lang"), F.lit("\t"), one_line(F.col("text")), extra).alias("value"),
+        F.concat(
+            F.lit("2024-05-01\t"), F.col("lang"), F.lit("\t"), one_line(F.col("text")), extra
+        ).alias("value"),
     )
 
 
@@ -908,7 +910,10 @@ def count_tokens(b: Binding) -> DataFrame:
 def clean_tokens(b: Binding) -> DataFrame:
     look = WordLookups(b.word_tables())
     rows = mining.sentence_words(b.mined_reviews(), look, ["doc_id"])
-    return rows.select("doc_id", F.col("sentence_no").cast("bigint").alias("sentence_no"), F.array_join("clean", " ").alias("words"))
+    return rows.select(
+        "doc_id", F.col("sentence_no").cast("bigint").alias("sentence_no"),
+        F.array_join("clean", " ").alias("words"),
+    )
 
 
 @register(
@@ -1039,7 +1044,10 @@ def aspect_phrases(b: Binding) -> DataFrame:
 
 @register(
     "keyword_is_noun",
-    O.query("SELECT aspect, count(*) AS phrases, count(DISTINCT phrase) AS distinct_phrases FROM phrase GROUP BY aspect"),
+    O.query(
+        """SELECT aspect, count(*) AS phrases, count(DISTINCT phrase) AS distinct_phrases
+        FROM phrase GROUP BY aspect"""
+    ),
 )
 def keyword_is_noun(b: Binding) -> DataFrame:
     found = mining.aspect_phrases(b.mined_reviews(), b.word_tables(), [])
@@ -1109,7 +1117,8 @@ def _late(sql_tables: dict[str, str], **late: str) -> dict[str, str]:
 
 MINED_TABLES = _late(
     O.CTES,
-    **{n: (MINED_SEED if n == "seed" else O.CTES[n]) for n in ("seed", "hit", "sentiment", "mention", "rating")},
+    seed=MINED_SEED,
+    **{n: O.CTES[n] for n in ("hit", "sentiment", "mention", "rating")},
 )
 
 
@@ -1339,8 +1348,9 @@ def cascade_delete(b: Binding) -> DataFrame:
         features=m.feature.filter(F.col("feature_name") == "Service"),
     )
     counts = None
-    for name, parent in (("hotel", "hotel_id"), ("review", "hotel_id"), ("rating", "hotel_id"), ("seed", "feature_id")):
-        one = getattr(left, name).groupBy(F.col(parent).alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+    for name in ("hotel", "review", "rating", "seed"):
+        parent = F.col("feature_id" if name == "seed" else "hotel_id").alias("parent")
+        one = getattr(left, name).groupBy(parent).agg(F.count(F.lit(1)).alias("n"))
         one = one.select(F.lit(name).alias("table_name"), "parent", "n")
         counts = one if counts is None else counts.unionByName(one)
     return counts
