@@ -91,21 +91,21 @@ def _split(rows: list[Row], use_automaton: bool, limits: MatchLimits) -> Iterato
         yield SeedBatch((), tuple(regexes[start : start + step]))
 
 
-def _count_matches(automaton, folded: str) -> dict[int, int]:
-    """Non-overlapping occurrences per phrase, keyed by the phrase's first seed."""
-    free_from: dict[int, int] = {}
-    counts: dict[int, int] = {}
-    for end, (length, members) in automaton.iter(folded):
-        phrase = members[0]
-        if end - length + 1 >= free_from.get(phrase, 0):
-            free_from[phrase] = end + 1
-            counts[phrase] = counts.get(phrase, 0) + 1
-    return counts
-
-
 def _plain_hits(text: Column, batch: SeedBatch, spark) -> Column:
     seeds = spark.sparkContext.broadcast(batch.plain)
 
+    # Everything the tasks need is inside: executors do not have to import this package.
+    def count_matches(automaton, folded: str) -> dict[int, int]:
+        """Non-overlapping occurrences per phrase, keyed by the phrase's first seed."""
+        free_from: dict[int, int] = {}
+        counts: dict[int, int] = {}
+        for end, (length, members) in automaton.iter(folded):
+            phrase = members[0]
+            if end - length + 1 >= free_from.get(phrase, 0):
+                free_from[phrase] = end + 1
+                counts[phrase] = counts.get(phrase, 0) + 1
+        return counts
+
     @F.arrow_udf(f"array<{HIT}>")
     def hits_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
@@ -121,7 +121,7 @@ def _plain_hits(text: Column, batch: SeedBatch, spark) -> Column:
         for texts in batches:
             offsets, columns = [0], ([], [], [], [])
             for folded in texts.to_pylist():
-                for first, count in _count_matches(automaton, folded or "").items():
+                for first, count in count_matches(automaton, folded or "").items():
                     for nth in by_phrase[seeds.value[first][0]]:
                         for column, value in zip(columns, (*seeds.value[nth][1:], count)):
                             column.append(value)

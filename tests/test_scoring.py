@@ -88,6 +88,14 @@ def test_one_shuffle_scores_everything(model, plan_of):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_hotel_filter_on_the_scores_reaches_the_review_scan(spark, model, plan_of, tmp_path):
+    model.review.write.parquet(str(tmp_path / "review"))
+    stored = model.with_(review=spark.read.parquet(str(tmp_path / "review")))
+    plan = plan_of(scoring.calc_ratings(stored, updated=DAY).filter(F.col("hotel_id").isin(1, 3)))
+    scan = next(line for line in plan.splitlines() if "review_text" in line and "FileScan" in line)
+    assert "In(hotel_id, [1,3])" in scan
+
+
 def test_overall_view_is_not_blown_up_by_the_fan_out(model):
     m = model.with_(rating=scoring.calc_ratings(model, updated=DAY))
     got = {r.hotel_id: r for r in views.hotel_overall(m).collect()}
