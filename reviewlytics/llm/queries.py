@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import packing, tokenfile
+from reviewlytics.llm import minhash, packing, tokenfile
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -26,9 +26,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 #: The results of these operators cannot be stated in SQL (vocabularies, learned models, hashing,
 #: searches); tests/llm holds them against plain versions.
