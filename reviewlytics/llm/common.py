@@ -108,11 +108,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of the words [^\\x20\\x09-\\x0D]+, and words before each row (rows + 1)."""
+#: Bytes of words of letters: ASCII letters and all signs beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the words [^\\x20\\x09-\\x0D]+, or of runs of the bytes that ``letters``
+    marks, and words before each row (rows + 1)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = _SPACE[data] if letters is None else ~letters[data]
     inside = ~space
     first = inside.copy()
     first[1:] &= space[:-1]
@@ -161,6 +169,12 @@ def ranks(sizes: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def held_out(docs: DataFrame, folds: int, fold: int):
+    """Whether crc32(doc_id as text) mod ``folds`` is ``fold``; false without a doc_id."""
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    return F.coalesce(rest == fold, F.lit(False))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """id, component_id (smallest id reachable) for every id of ``edges``, by contraction.
 

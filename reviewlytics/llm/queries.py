@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import lattice, minhash, packing, repeats, tokenfile
+from reviewlytics.llm import language, lattice, minhash, packing, repeats, tokenfile
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -26,6 +26,10 @@ def op4_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -41,6 +45,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op4_lattice_near_vectors": op4_lattice_near_vectors,
+    "op6_language_mixture": op6_language_mixture,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
