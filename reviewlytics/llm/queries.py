@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, minhash, packing, repeats, tokenfile
+from reviewlytics.llm import language, lattice, minhash, packing, repeats, tokenfile, toxicity
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, folder)
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op4_lattice_near_vectors": op4_lattice_near_vectors,
     "op6_language_mixture": op6_language_mixture,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
