@@ -11,6 +11,8 @@ Only connected groups are asked for, so no bucket is turned into all its pairs:
 * a larger bucket links its members to a few centres; where that leaves members outside the main
   group of the bucket, a few such members meet all others, and many are split again by a second
   band before they meet, since unlike texts hardly share two;
+* signatures, sets and texts are joined by merging at every size, so that small inputs run the plan
+  of large ones;
 * of a class's surviving pairs the most promising is verified first, and others only where their
   ends are not connected by then.
 """
@@ -33,8 +35,8 @@ BANDS, ROWS = 24, 5
 WIDTH = 5
 THRESHOLD = 80
 MISS = 1e-3
-SMALL = 32
-CENTRES = 4
+SMALL = 8
+CENTRES = 3
 FEW = 64
 BATCH = 20
 _SEED = np.random.default_rng(9).integers(1, 1 << 63, (2, 1024), dtype=np.uint64)
@@ -200,11 +202,11 @@ class _Verifier:
         """Candidate pairs (a, b) that are confirmed, as far as they join separate groups."""
         left = self.reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
         right = self.reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-        pairs = candidates.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
+        pairs = candidates.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "sig_a", "sig_b")
         prune = _prune(self.n, self.threshold / 100, self.miss)
         found = stored(pairs.mapInArrow(prune, "a bigint, b bigint, equal bigint"), "survivors")
         ids = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
         texts = texts.dropDuplicates(["id"])
         sets = stored(texts.mapInArrow(_sets(self.width), "id bigint, set binary"), "sets")
         best = found.groupBy("b").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
@@ -219,7 +221,7 @@ class _Verifier:
     def _confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_exact(self.threshold), "a bigint, b bigint")
 
 
