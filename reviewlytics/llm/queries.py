@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, minhash, packing, repeats, tokenfile, toxicity
+from reviewlytics.llm import language, lattice, minhash, packing, quality, repeats, tokenfile, toxicity
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -30,6 +30,10 @@ def op4_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op4_lattice_near_vectors": op4_lattice_near_vectors,
+    "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
