@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, minhash, packing, quality, repeats, tokenfile, toxicity
+from reviewlytics.llm import language, lattice, minhash, packing, quality, repeats, tiling, tokenfile, toxicity
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -26,6 +26,10 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_lattice_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
+    "op3_tiling_decontamination": op3_tiling_decontamination,
     "op4_lattice_near_vectors": op4_lattice_near_vectors,
     "op5_additive_quality": op5_additive_quality,
     "op6_language_mixture": op6_language_mixture,
