@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, minhash, packing, quality, repeats, tiling, tokenfile, toxicity
+from reviewlytics.llm import language, lattice, licenses, minhash, packing, quality, repeats, tiling, tokenfile, toxicity
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -54,6 +54,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 #: The results of these operators cannot be stated in SQL (vocabularies, learned models, hashing,
 #: searches); tests/llm holds them against plain versions.
