@@ -347,12 +347,12 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return whole.unionByName(mixed)
 
 
-def _removed(length: int):
+def _removed(kept: list[str]):
     def run(batches):
         for batch, data, offsets in chunks(batches, "text", 2 << 20):
-            out = []
+            texts, n_removed, n_spans, digests = [], [], [], []
             raw = data.tobytes()
-            spans = batch.column("spans")
+            spans = batch.column(batch.schema.get_field_index("spans"))
             bounds = spans.offsets.to_numpy()
             bounds = bounds - bounds[0]
             items = spans.flatten()
@@ -360,41 +360,40 @@ def _removed(length: int):
             for k in range(batch.num_rows):
                 text = raw[offsets[k] : offsets[k + 1]]
                 a, b = begins[bounds[k] : bounds[k + 1]], ends[bounds[k] : bounds[k + 1]]
-                if not len(a):
-                    out.append((text.decode(), len(text), 0, 0, hashlib.sha256(text).hexdigest(), []))
-                    continue
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
-                new = np.append(True, a[1:] > reach[:-1])
-                a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
-                parts = [text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)])]
-                kept = b"".join(parts)
-                joined = kept.decode("utf-8", "replace")
-                out.append((joined, len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), list(zip(a.tolist(), b.tolist()))))
-            kept, n, gone, runs, sha, list_ = zip(*out)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "kept_text": pa.array(kept, pa.string()),
-                    "n_bytes": pa.array(n, pa.int64()),
-                    "n_removed": pa.array(gone, pa.int64()),
-                    "n_spans": pa.array(runs, pa.int64()),
-                    "kept_sha256": pa.array(sha, pa.string()),
-                }
+                left = text
+                if len(a):
+                    order = np.argsort(a, kind="stable")
+                    a, reach = a[order], np.maximum.accumulate(b[order])
+                    new = np.append(True, a[1:] > reach[:-1])
+                    a, b = a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+                    left = b"".join(text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)]))
+                texts.append(left.decode("utf-8", "ignore"))
+                n_removed.append(len(text) - len(left))
+                n_spans.append(len(a))
+                digests.append(hashlib.sha256(left).hexdigest())
+            out = [batch.column(batch.schema.get_field_index(n)) for n in kept]
+            out += [
+                pa.array(texts, pa.string()), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()),
+                pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                out, names=[*kept, "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) without the bytes that a repeated string covers:
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) without the bytes that a repeated string covers: the
+    columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text.
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in this or
     another document; strings never cross documents and are judged on the input. Texts are taken
     as UTF-8 bytes, null as empty; a text below ``length`` bytes stays whole. Equal rows, with one
-    doc_id or without, repeat each other. kept_text shows a sign that lost some of its bytes as
-    U+FFFD; kept_sha256 is over the bytes. Other columns are ignored, an empty table gives no rows.
+    doc_id or without, repeat each other. kept_text leaves a sign out that lost some of its
+    bytes; kept_sha256 is over the bytes. Other columns are ignored, an empty table gives no rows.
     """
     keyed = _keyed(docs)
     repeated, contexts, contents = _found(keyed, length, gram)
@@ -413,9 +412,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     per_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(
         F.collect_list(F.struct("a", "b")).alias("spans")
     )
-    joined = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     none = F.from_json(F.lit("[]"), "array<struct<a:int,b:int>>")
-    joined = joined.select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
-    schema = "doc_id bigint, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    out = joined.mapInArrow(_removed(length), schema)
-    return out if with_text else out.drop("kept_text")
+    # Names of the operator's own, so that no kept column clashes.
+    whole = docs.select(
+        F.struct(*keep).alias("kept"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).withColumn("h", F.xxhash64("text"))
+    joined = whole.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+    joined = joined.select("kept", "text", F.coalesce("spans", none).alias("spans"))
+    kept = joined.schema["kept"].dataType.simpleString()
+    schema = f"kept {kept}, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    out = joined.mapInArrow(_removed(["kept"]), schema)
+    names = ["kept_text"] * with_text + ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return out.select("kept.*", *names)

@@ -153,7 +153,9 @@ class _Block:
         return self.lists[k]
 
 
-def _tiled(block: _Block, coverage: float):
+def _tiled(block: _Block, coverage: float, clean: bool = False):
+    """Matches of each batch with a block; ``clean`` gives the rows without any instead."""
+
     def run(batches):
         for batch, data, offsets in chunks(batches, "text", 2 << 20):
             words, counts = tokens(data, offsets)
@@ -178,6 +180,11 @@ def _tiled(block: _Block, coverage: float):
                 share = sum(n for _, _, n in tiles) / len(test)
                 if share >= coverage:
                     out.append((r, block.ids[k], share, len(test), len(tiles), [(at[i], j, n) for i, j, n in tiles]))
+            if clean:
+                free = np.ones(batch.num_rows, bool)
+                free[[r for r, *_ in out]] = False
+                yield batch.filter(pa.array(free))
+                continue
             r, ids, share, size, n, tiles = zip(*out) if out else [()] * 6
             kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("doc_start", "item_start", "length")]))
             named = [[dict(zip(("doc_start", "item_start", "length"), t)) for t in x] for x in tiles]
@@ -205,15 +212,29 @@ def leaks(
     Other columns are ignored; without documents or items there are no rows.
     """
     given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    out = None
+    for block in _blocks(benchmark, width, block_bytes):
+        found = given.mapInArrow(_tiled(block, coverage), TYPES)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], TYPES) if out is None else out
+
+
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int):
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // block_bytes)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(blocks, 1)))
-    out = docs.sparkSession.createDataFrame([], TYPES)
     for k in range(blocks):
         rows = sorted((r["item_id"] is None, r["item_id"] or 0, r["text"]) for r in items.where(part == k).collect())
-        block = _Block([None if null else i for null, i, _ in rows], [t for _, _, t in rows], width)
-        out = out.unionByName(given.mapInArrow(_tiled(block, coverage), TYPES)) if k else given.mapInArrow(
-            _tiled(block, coverage), TYPES
-        )
+        yield _Block([None if null else i for null, i, _ in rows], [t for _, _, t in rows], width)
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, whole, that ``leaks`` would not report; rows are dropped in the scan
+    itself, without a join."""
+    out = docs
+    for block in _blocks(benchmark, width, block_bytes):
+        out = out.mapInArrow(_tiled(block, coverage, clean=True), docs.schema)
     return out
