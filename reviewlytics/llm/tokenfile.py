@@ -14,8 +14,8 @@ decoded in any order, and many side by side as the lanes of one vector.
 Coding of an id. Two tables, addressed by the last two ids and by the last one, each predict an id
 with a confidence of 0 to 7. Adaptive counts, kept per pair of confidences, mix both predictions
 with the order-0 model into one interval: first id, second id, or neither. In the last case the
-order-0 model gives the id's bit length by its frequency so far, and the bits below the leading one
-are coded evenly. Intervals go through a carry-less range coder of 64 bits that emits 16-bit words.
+order-0 model gives the id's class (its bit length) by its frequency so far, and the bits that the
+class leaves open are coded evenly. Intervals go through a carry-less range coder of 64 bits that emits 16-bit words.
 """
 
 from __future__ import annotations
@@ -34,19 +34,21 @@ from reviewlytics.llm.encoding import encoder, with_end
 
 MAGIC = b"TKR1"
 HEAD = struct.Struct("<4sIIIII")
-BLOCK_IDS = 4096
+BLOCK_IDS = 1024
 LANES = 2048
 #: Entries of each prediction table of a lane.
-SLOTS = 1 << 10
-#: Ids of so many bits or more share one symbol of the order-0 model and are coded by two halves.
-WIDE = 17
+SLOTS = 1 << 9
+#: Classes of the order-0 model: ids below 2^NARROW, one per bit length up to 16, and the rest, which
+#: is coded by two halves.
+NARROW = 5
+WIDE = 16 - NARROW + 1
 _LIMIT = 1 << 14
 RECORDS = "part int, block int, n_ids int, record binary"
 
 _U = np.uint64
 _FULL, _WORD, _TOP = _U((1 << 64) - 1), _U(16), _U(48)
 _LOW48 = _U((1 << 48) - 1)
-_ONE = _U(1)
+_ONE, _DROP = _U(1), _U(12)
 
 
 class _Model:
@@ -57,10 +59,13 @@ class _Model:
         self.base = np.arange(lanes) * SLOTS
         self.two = np.zeros(lanes * SLOTS, np.int32)  # id << 3 | confidence
         self.one = np.zeros(lanes * SLOTS, np.int32)
-        self.sums = np.zeros((WIDE + 1, lanes), np.int32)
-        self.mix = np.ones((3, lanes * 64), np.int32)
+        self.mix = np.ones(3 * lanes * 64, np.int32)
         self.mix_base = np.arange(lanes) * 64
+        self.states = lanes * 64
         self.bits = np.ones((WIDE + 1, lanes), np.int32)
+        self.sums = np.zeros((WIDE + 1, lanes), np.int32)
+        self.lane = np.arange(lanes)
+        self.lanes = lanes
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
@@ -73,28 +78,30 @@ class _Model:
         self.e2, self.e1 = self.two.take(self.s2), self.one.take(self.s1)
         self.p2, self.p1 = self.e2 >> 3, self.e1 >> 3
         self.state = self.mix_base[:n] + ((self.e2 & 7) << 3) + (self.e1 & 7)
-        return tuple(m.take(self.state) for m in self.mix)
+        m = self.states
+        return self.mix.take(self.state), self.mix.take(self.state + m), self.mix.take(self.state + 2 * m)
 
     def bit_sums(self, n: int) -> np.ndarray:
-        """Running sums of the order-0 counts over the bit lengths."""
+        """Running sums of the order-0 counts over the classes of ids."""
         self.sums[0, :n] = self.bits[0, :n]
         for k in range(1, WIDE + 1):
             np.add(self.sums[k - 1, :n], self.bits[k, :n], out=self.sums[k, :n])
         return self.sums
 
     def update(self, n: int, ids: np.ndarray, choice: np.ndarray, total: np.ndarray) -> None:
-        self.mix[choice, self.state] += 24
+        self.mix[choice * self.states + self.state] += 24
         if total.max() > _LIMIT:
-            high = self.state[total > _LIMIT]
-            self.mix[:, high] = (self.mix[:, high] >> 1) + 1
+            for k in range(3):
+                high = self.state[total > _LIMIT] + k * self.states
+                self.mix[high] = (self.mix[high] >> 1) + 1
+        new = (ids << 3).astype(np.int32)
         for table, slot, e, p in ((self.two, self.s2, self.e2, self.p2), (self.one, self.s1, self.e1, self.p1)):
             c = e & 7
-            hit = p == ids
-            table[slot] = np.where(hit, e + (c < 7), np.where(c > 1, e - c + (c >> 1), (ids << 3).astype(np.int32)))
+            table[slot] = np.where(p == ids, e + (c < 7), np.where(c > 1, e - c + (c >> 1), new))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
-    def saw_bits(self, rows: np.ndarray, column: np.ndarray, total: np.ndarray) -> None:
+    def saw(self, rows: np.ndarray, column: np.ndarray, total: np.ndarray) -> None:
         self.bits[column, rows] += 24
         if total.max() > _LIMIT:
             high = rows[total > _LIMIT]
@@ -102,8 +109,20 @@ class _Model:
 
 
 def _column(ids: np.ndarray) -> np.ndarray:
-    """Bit length; WIDE for all ids of WIDE bits or more."""
-    return np.minimum(np.frexp(ids.astype(np.float64))[1], WIDE)
+    """Class of an id: 0 below 2^NARROW, then one per bit length, WIDE from 2^16 on."""
+    length = np.frexp(ids.astype(np.float64))[1]
+    return np.clip(length - NARROW, 0, WIDE).astype(np.int64)
+
+
+#: Per class: evenly coded bits, and the id that stands for zeros in them.
+_EVEN = np.array([NARROW, *range(NARROW, 16), 16], np.uint64)
+_FLOOR = np.array([0, *(1 << k for k in range(NARROW, 16)), 0], np.int64)
+
+
+def _share(size: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A little less than size / total. The upper 52 bits are divided as doubles, exact to one."""
+    whole = (size >> _DROP).astype(np.float64) / total
+    return (whole.astype(np.uint64) - _ONE) << _DROP
 
 
 def _renewed(low, size):
@@ -174,6 +193,13 @@ class _Reader:
             self.low[rows], self.size[rows] = low, size
 
 
+def _whole(part: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """part // unit for quotients of at most 16 bits, by doubles and a correction."""
+    q = (part.astype(np.float64) / unit.astype(np.float64)).astype(np.uint64)
+    q -= (q * unit > part).astype(np.uint64)
+    return q + ((q + _ONE) * unit <= part).astype(np.uint64)
+
+
 def _grid(sizes: np.ndarray):
     """Lanes that are still on at each step; sizes are descending."""
     return np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
@@ -190,42 +216,40 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         grid = np.zeros((steps, len(lanes)), np.int64)
         for j, k in enumerate(lanes):
             grid[: sizes[j], j] = blocks[k]
+        columns = _column(grid)
+        evens = _EVEN[columns]
+        values = np.where(columns == WIDE, grid >> 16, grid - _FLOOR[columns]).astype(np.uint64)
         model, coder = _Model(len(lanes)), _Coder(len(lanes), steps + 16)
         for t, n in enumerate(_grid(sizes).tolist()):
             ids = grid[t, :n]
             a, b, c = model.predict(n)
             hit2, hit1 = ids == model.p2, ids == model.p1
-            choice = np.where(hit2, 0, np.where(hit1, 1, 2))
             total = a + b + c
-            unit = coder.size[:n] // total.astype(np.uint64)
-            start = np.where(hit2, 0, np.where(hit1, a, a + b))
-            part = np.where(hit2, a, np.where(hit1, b, c))
-            low = coder.low[:n] + unit * start.astype(np.uint64)
-            size = unit * part.astype(np.uint64)
-            miss = np.flatnonzero(choice == 2)
-            if len(miss):
-                x = ids.take(miss)
-                column = _column(x)
+            unit = _share(coder.size[:n], total)
+            choice = np.where(hit2, 0, np.where(hit1, 1, 2))
+            low = coder.low[:n] + unit * np.where(hit2, 0, np.where(hit1, a, a + b)).astype(np.uint64)
+            size = unit * np.where(hit2, a, np.where(hit1, b, c)).astype(np.uint64)
+            miss = choice == 2
+            rows = np.flatnonzero(miss)
+            if len(rows):
+                column = columns[t, :n]
                 sums = model.bit_sums(n)
-                part = model.bits[column, miss]
-                start = sums[column, miss] - part
-                all_bits = sums[-1].take(miss)
-                unit = size.take(miss) // all_bits.astype(np.uint64)
-                lower = low.take(miss) + unit * start.astype(np.uint64)
-                wide = column == WIDE
-                even = np.where(wide, 16, np.maximum(column - 1, 0))
-                narrow = (unit * part.astype(np.uint64)) >> even.astype(np.uint64)
-                value = np.where(wide, x >> 16, x - ((1 << column) >> 1))
-                low[miss] = lower + narrow * value.astype(np.uint64)
-                size[miss] = narrow
-                model.saw_bits(miss, column, all_bits)
-                if wide.any():
+                at = column * model.lanes + model.lane[:n]
+                part = model.bits.ravel().take(at)
+                start = sums.ravel().take(at) - part
+                unit = _share(size, sums[-1, :n])
+                narrow = (unit * part.astype(np.uint64)) >> evens[t, :n]
+                lower = low + unit * start.astype(np.uint64) + narrow * values[t, :n]
+                low = np.where(miss, lower, low)
+                size = np.where(miss, narrow, size)
+                model.saw(rows, column[rows], sums[-1].take(rows))
+                far = rows[column[rows] == WIDE]
+                if len(far):
                     coder.low[:n], coder.size[:n] = low, size
                     coder.renew(n)
                     low, size = coder.low[:n].copy(), coder.size[:n].copy()
-                    far = miss[wide]
                     size[far] >>= _WORD
-                    low[far] += size[far] * (x[wide] & 0xFFFF).astype(np.uint64)
+                    low[far] += size[far] * (ids[far] & 0xFFFF).astype(np.uint64)
             coder.low[:n], coder.size[:n] = low, size
             coder.renew(n)
             model.update(n, ids, choice, total)
@@ -249,48 +273,42 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         for t, n in enumerate(_grid(n_ids).tolist()):
             a, b, c = model.predict(n)
             total = a + b + c
-            low, code = reader.low[:n], reader.code[:n]
-            unit = reader.size[:n] // total.astype(np.uint64)
-            value = np.minimum((code - low) // unit, (total - 1).astype(np.uint64)).astype(np.int64)
-            hit2, more = value < a, value < a + b
-            choice = np.where(hit2, 0, np.where(more, 1, 2))
-            start = np.where(hit2, 0, np.where(more, a, a + b))
-            part = np.where(hit2, a, np.where(more, b, c))
-            low = low + unit * start.astype(np.uint64)
-            size = unit * part.astype(np.uint64)
-            ids = np.where(hit2, model.p2, model.p1)
-            miss = np.flatnonzero(choice == 2)
-            if len(miss):
+            unit = _share(reader.size[:n], total)
+            low = reader.low[:n]
+            off = reader.code[:n] - low
+            not2, miss = off >= unit * a.astype(np.uint64), off >= unit * (a + b).astype(np.uint64)
+            choice = not2.astype(np.int64) + miss
+            low = low + unit * np.where(miss, a + b, np.where(not2, a, 0)).astype(np.uint64)
+            size = unit * np.where(miss, c, np.where(not2, b, a)).astype(np.uint64)
+            ids = np.where(not2, model.p1, model.p2).astype(np.int64)
+            rows = np.flatnonzero(miss)
+            if len(rows):
                 sums = model.bit_sums(n)
-                all_bits = sums[-1].take(miss)
-                unit = size.take(miss) // all_bits.astype(np.uint64)
-                lower, found = low.take(miss), code.take(miss)
-                value = np.minimum((found - lower) // unit, (all_bits - 1).astype(np.uint64))
-                value = value.astype(np.int32)
-                column = np.zeros(len(miss), np.int64)
+                off = reader.code[:n] - low
+                unit = _share(size, sums[-1, :n])
+                column = np.zeros(n, np.int64)
                 for k in range(WIDE):
-                    column += value >= sums[k].take(miss)
-                part = model.bits[column, miss]
-                lower += unit * (sums[column, miss] - part).astype(np.uint64)
-                wide = column == WIDE
-                even = np.where(wide, 16, np.maximum(column - 1, 0)).astype(np.uint64)
-                narrow = (unit * part.astype(np.uint64)) >> even
-                value = np.minimum((found - lower) // narrow, (_ONE << even) - _ONE)
-                low[miss] = lower + narrow * value
-                size[miss] = narrow
-                value = value.astype(np.int64)
-                x = np.where(wide, value << 16, value + ((1 << column) >> 1))
-                model.saw_bits(miss, column, all_bits)
-                if wide.any():
+                    column += off >= unit * sums[k, :n].astype(np.uint64)
+                at = column * model.lanes + model.lane[:n]
+                part = model.bits.ravel().take(at)
+                start = unit * (sums.ravel().take(at) - part).astype(np.uint64)
+                even = _EVEN.take(column)
+                narrow = np.maximum((unit * part.astype(np.uint64)) >> even, _ONE)
+                value = np.minimum(_whole(off - start, narrow), (_ONE << even) - _ONE)
+                low = np.where(miss, low + start + narrow * value, low)
+                size = np.where(miss, narrow, size)
+                x = value.astype(np.int64) + _FLOOR.take(column)
+                model.saw(rows, column[rows], sums[-1].take(rows))
+                far = rows[column[rows] == WIDE]
+                if len(far):
                     reader.low[:n], reader.size[:n] = low, size
                     reader.renew(n)
                     low, size = reader.low[:n].copy(), reader.size[:n].copy()
-                    far = miss[wide]
                     size[far] >>= _WORD
-                    value = np.minimum((reader.code[far] - low[far]) // size[far], _U(0xFFFF))
+                    value = np.minimum(_whole(reader.code[far] - low[far], size[far]), _U(0xFFFF))
                     low[far] += size[far] * value
-                    x[wide] |= value.astype(np.int64)
-                ids[miss] = x
+                    x[far] = (x[far] << 16) | value.astype(np.int64)
+                ids = np.where(miss, x, ids)
             reader.low[:n], reader.size[:n] = low, size
             reader.renew(n)
             grid[t, :n] = ids
@@ -445,7 +463,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         base += totals[part]
     # One row per part, that is per task that wrote the data set.
     shift = F.broadcast(spark.createDataFrame(starts, "part int, base bigint"))
-    ordered = blocks.select("part", "block", "record").repartition(max(len(totals), 1), "part")
+    ordered = blocks.select("part", "block", "record").repartitionById(max(totals, default=0) + 1, F.col("part"))
     ordered = ordered.sortWithinPartitions("part", "block")
     schema = "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     found = ordered.mapInArrow(_documents(with_ids), schema + (", ids array<bigint>" if with_ids else ""))
