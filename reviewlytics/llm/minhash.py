@@ -264,7 +264,8 @@ def near_duplicates(
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     reps = classes.select("rep", "sig")
     banded = reps.mapInArrow(_banded(bands), "key bigint, rep bigint")
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored first, so that the join reads plain shuffles on both sides and a hot bucket can be split.
+    sizes = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = stored(banded.join(sizes, "key"), "buckets")
     verifier = _Verifier(docs, reps, width, n, threshold, miss)
     large = members.where(F.col("n") > SMALL)
