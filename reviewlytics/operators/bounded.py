@@ -35,7 +35,8 @@ def restrict_to_keys(
 
     A few keys become an IN list, which Catalyst pushes through aggregates down to the scan
     (row groups are skipped when the table is sorted by the key). More keys are broadcast, so
-    the tables stay in place. Only beyond that do both sides shuffle.
+    the tables stay in place. Only beyond that do both sides shuffle, the tables salted by position,
+    since one key may hold a large share of a table. The columns and their order stay at any size.
     """
     distinct = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     found = rows_within(distinct, literal_bound)
@@ -45,7 +46,18 @@ def restrict_to_keys(
         return [df.filter(wanted) for df in tables]
     small = distinct.limit(broadcast_bound + 1).count() <= broadcast_bound
     how = "left_anti" if exclude else "left_semi"
-    return [df.join(F.broadcast(distinct) if small else distinct, key, how) for df in tables]
+    if small:
+        return [df.join(F.broadcast(distinct), key, how).select(*df.columns) for df in tables]
+    salted_keys = distinct.withColumn("_salt", F.explode(_all_salts()))
+    return [_salted(df).join(salted_keys, [key, "_salt"], how).select(*df.columns) for df in tables]
+
+
+def _all_salts():
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
 
 
 def join_dimension(
@@ -64,10 +76,8 @@ def join_dimension(
     """
     if dimension.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dimension), on, how)
-    salted_fact = fact.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
-    salted_dimension = dimension.withColumn("_salt", F.explode(salts))
-    return salted_fact.join(salted_dimension, [on, "_salt"], how).drop("_salt")
+    salted_dimension = dimension.withColumn("_salt", F.explode(_all_salts()))
+    return _salted(fact).join(salted_dimension, [on, "_salt"], how).drop("_salt")
 
 
 def combine(left: DataFrame, right: DataFrame, right_key: str, bound: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,13 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
+    """The cluster's checkpoint folder. Where none is set, a temporary one for a local master; driver
+    and executors of a cluster would write to different disks, so there it is an error."""
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all nodes of {master} share")
         folder = tempfile.mkdtemp(prefix="reviewlytics-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -25,7 +25,7 @@ LOWEST_RATING, HIGHEST_RATING = 1, 5
 
 
 class Appended(NamedTuple):
-    """``table`` = existing rows and accepted ones; ``rejected``: key, reason, rows."""
+    """``table`` = existing rows and accepted ones; ``rejected``: key (an array), reason, rows."""
 
     table: DataFrame
     accepted: DataFrame
@@ -39,7 +39,7 @@ class AppendedHotels(NamedTuple):
     rejected: DataFrame
 
 
-def _one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key (the smallest) and the number of rows it stands for."""
     rest = [c for c in df.columns if c not in keys]
     smallest = F.min(F.struct(*[F.col(c) for c in rest])) if rest else F.min(F.lit(1))
@@ -51,10 +51,15 @@ def _key_text(keys: list[str]) -> Column:
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
 
 
+def _key_values(keys: list[str]) -> Column:
+    """The key's columns as an array: no separator that a value may hold, nulls stay nulls."""
+    return F.array(*[F.col(k).cast("string") for k in keys]).alias("key")
+
+
 def _rejected(df: DataFrame, keys: list[str], reason: str, rows: Column) -> DataFrame:
     """Counted per key; each row of ``df`` stands for ``rows`` rows."""
     return (
-        df.select(_key_text(keys), F.lit(reason).alias("reason"), rows.alias("rows"))
+        df.select(_key_values(keys), F.lit(reason).alias("reason"), rows.alias("rows"))
         .groupBy("key", "reason")
         .agg(F.sum("rows").alias("rows"))
     )
@@ -66,8 +71,9 @@ def _dedupe(new: DataFrame, existing: DataFrame, keys: list[str]):
     The first of equal keys is accepted unless the key is taken; the others are duplicates.
     Keys compare null-safe.
     """
-    one = _one_per_key(new, keys)
-    taken = existing.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(1).alias("_taken"))
+    one = one_per_key(new, keys)
+    taken = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    taken = taken.withColumn("_taken", F.lit(1))
     same = F.lit(True)
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
@@ -145,7 +151,7 @@ def append_reviews(m: Model, new: DataFrame, today: datetime.date | None = None)
     accepted = numbered.select(*m.review.columns)
     rejected = (
         located.filter(F.col("_reason").isNotNull())
-        .groupBy(F.col("hotel_name").alias("key"), F.col("_reason").alias("reason"))
+        .groupBy(_key_values(["hotel_name"]), F.col("_reason").alias("reason"))
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     return Appended(m.review.unionByName(accepted), accepted, rejected)
@@ -217,7 +223,8 @@ def validate(m: Model) -> DataFrame:
     """Violations of the table constraints: table, rule, key, rows. Empty if all hold."""
 
     def missing(*columns: str) -> dict[str, Column]:
-        return {f"{c} not null": F.col(c).isNull() for c in columns}
+        # An empty text counts as none, as it does for appended rows.
+        return {f"{c} not null": empty_to_null(F.col(c).cast("string")).isNull() for c in columns}
 
     def out_of_range(column: str) -> dict[str, Column]:
         rule = f"{column} between {LOWEST_RATING} and {HIGHEST_RATING}"

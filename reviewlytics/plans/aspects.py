@@ -21,21 +21,27 @@ from reviewlytics.operators.dictionary import (
 
 # The five aspects and the words that name them.
 ASPECT_KEYWORDS = {
-    "cleanliness": "clean, dirty, filthy, spotless, tidy, stain, grimy, dusty, fresh",
-    "service": "service, staff, reception, manager, rude, helpful, check, checkin, checkout, "
-    "housekeeping, front desk",
-    "location": "location, walk, near, close, distance, station, tube, area, convenient, "
-    "central, neighborhood",
-    "comfort": "bed, room, comfortable, noise, noisy, quiet, hot, cold, air, ac, heating, "
-    "pillow, mattress, sleep",
-    "price": "price, cost, expensive, cheap, value, worth, deal, rate, charge, fee",
+    "cleanliness": ("clean", "dirty", "filthy", "spotless", "tidy", "stain", "grimy", "dusty", "fresh"),
+    "service": (
+        "service", "staff", "reception", "manager", "rude", "helpful", "check", "checkin", "checkout",
+        "housekeeping", "front desk",
+    ),
+    "location": (
+        "location", "walk", "near", "close", "distance", "station", "tube", "area", "convenient",
+        "central", "neighborhood",
+    ),
+    "comfort": (
+        "bed", "room", "comfortable", "noise", "noisy", "quiet", "hot", "cold", "air", "ac", "heating",
+        "pillow", "mattress", "sleep",
+    ),
+    "price": ("price", "cost", "expensive", "cheap", "value", "worth", "deal", "rate", "charge", "fee"),
 }
 ASPECTS = tuple(ASPECT_KEYWORDS)
 
 
 def default_aspect_keywords(spark: SparkSession) -> DataFrame:
     """(aspect, keyword)"""
-    rows = [(a, k) for a, words in ASPECT_KEYWORDS.items() for k in words.split(", ")]
+    rows = [(a, k) for a, words in ASPECT_KEYWORDS.items() for k in words]
     return local_rows(spark, rows, "aspect string, keyword string")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlytics.functions.clean import sentiment_label
+from reviewlytics.functions.clean import NEGATIVE_TO, POSITIVE_FROM, sentiment_label
 from reviewlytics.functions.text import (
     POLARITY_PLACES,
     polarity,
@@ -44,13 +44,24 @@ def _annotated(reviews: DataFrame, look: WordLookups, text: str) -> DataFrame:
 
 
 def _mean_polarity(aspect: str) -> Column:
-    """Mean sentence polarity of an aspect to four places; NULL if no sentence mentions it."""
+    """Scaled mean sentence polarity of an aspect, not rounded; NULL if no sentence mentions it."""
     about = F.filter("_facts", lambda s: F.array_contains(s["aspects"], aspect))
     total = F.aggregate(
         about, F.lit(0).cast("bigint"), lambda t, s: t + polarity(s["valence"])
     )
-    mean = F.round(total.cast("double") / F.nullif(F.size(about), F.lit(0)), 0)
-    return unscale(mean)
+    return total.cast("double") / F.nullif(F.size(about), F.lit(0))
+
+
+def _shown(mean: Column) -> Column:
+    """A scaled mean to four places."""
+    return unscale(F.round(mean, 0))
+
+
+def _label(mean: Column) -> Column:
+    """Label of a scaled mean. Thresholds are whole numbers at this scale, and a quotient of whole
+    numbers reaches a whole number only if it is one: rounding for display plays no part."""
+    scale = 10**POLARITY_PLACES
+    return sentiment_label(mean, round(POSITIVE_FROM * scale), round(NEGATIVE_TO * scale))
 
 
 def _overall_polarity() -> Column:
@@ -89,14 +100,14 @@ def aspect_scores(
     annotated = _annotated(reviews, WordLookups(tables), text)
     scores = F.array(
         *[
-            F.struct(F.lit(a).alias("aspect"), _mean_polarity(a).alias("score"))
+            F.struct(F.lit(a).alias("aspect"), _mean_polarity(a).alias("_mean"))
             for a in ASPECTS
         ]
     )
     return (
         annotated.select(*keys, F.inline(scores))
-        .filter(F.col("score").isNotNull())
-        .withColumn("label", sentiment_label(F.col("score")))
+        .filter(F.col("_mean").isNotNull())
+        .select(*keys, "aspect", _shown(F.col("_mean")).alias("score"), _label(F.col("_mean")).alias("label"))
     )
 
 
@@ -111,13 +122,13 @@ def review_sentiment(reviews: DataFrame, tables: WordTables, text: str = "review
     scored = annotated.select(
         *[c for c in annotated.columns if c not in ("_facts", "compound")],
         "compound",
-        *[_mean_polarity(a).alias(f"{a}_score") for a in ASPECTS],
+        *[_mean_polarity(a).alias(f"_{a}") for a in ASPECTS],
     )
     ordered = []
     for aspect in ASPECTS:
-        score = F.col(f"{aspect}_score")
-        label = F.when(score.isNotNull(), sentiment_label(score))
-        ordered += [score, label.alias(f"{aspect}_label")]
+        mean = F.col(f"_{aspect}")
+        label = F.when(mean.isNotNull(), _label(mean))
+        ordered += [_shown(mean).alias(f"{aspect}_score"), label.alias(f"{aspect}_label")]
     return scored.select(
         *reviews.columns,
         sentiment_label(F.col("compound")).alias("sentiment"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +21,50 @@ def _decoded_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+# What writers leave beside the data; no review files.
+_MARKS = re.compile(r"_SUCCESS|_temporary|_committed_.*|_started_.*|\..*\.crc")
+
+
+def _file_system(spark: SparkSession, root: str):
+    """The root as a qualified path, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(path)
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of the layout whose names begin with ``_`` or ``.``: text sources do not list them."""
+    fs, top = _file_system(spark, root)
+    found, folders = [], []
+    for status in fs.listStatus(top):
+        (folders if status.isDirectory() else found).append(status.getPath())
+    for folder in folders:
+        if not _MARKS.fullmatch(folder.getName()):
+            found += [s.getPath() for s in fs.listStatus(folder) if not s.isDirectory()]
+    names = [p for p in found if p.getName()[0] in "_." or p.getParent().getName()[0] in "_."]
+    inside = len(top.toUri().getPath().rstrip("/")) + 1
+    return sorted(p.toUri().getPath()[inside:] for p in names if not _MARKS.fullmatch(p.getName()))
+
+
 def _below_root(path: Column, root: str) -> Column:
-    marker = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
-    return F.substring_index(path, marker, -1) if marker == "/" else F.split_part(
-        path, F.lit(marker), F.lit(2)
-    )
+    """``root``: the path part of the qualified root. Cut off by its length, whatever its text."""
+    plain = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substr(plain, F.lit(len(root.rstrip("/")) + 2))
 
 
-def review_lines(spark: SparkSession, root: str) -> DataFrame:
+def review_lines(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """(file, value): every line of the files in ``root`` and one directory level below it.
 
     A large file is split over tasks like any text source. ``file`` is the path below the root.
+    Files that Spark cannot list (see ``hidden_files``) stop the read with their names, unless
+    ``skip_hidden`` says that they may be left out.
     """
+    _, top = _file_system(spark, root)
+    hidden = [] if skip_hidden else hidden_files(spark, root)
+    if hidden:
+        raise ValueError(f"{len(hidden)} files cannot be listed, rename them: {', '.join(hidden[:20])}")
     lines = spark.read.option("recursiveFileLookup", "true").text(root)
-    located = lines.select(_below_root(_decoded_path(), root).alias("file"), "value")
+    located = lines.select(_below_root(_decoded_path(), top.toUri().getPath()).alias("file"), "value")
     depth = F.size(F.split("file", "/"))
     return located.filter((depth <= 2) & ~F.col("file").rlike(SKIPPED_SUFFIX))
 
@@ -72,9 +104,9 @@ def file_to_city(file: Column) -> Column:
     return F.when(F.contains(file, F.lit("/")), _clean_name(F.substring_index(file, "/", 1))).otherwise("")
 
 
-def read_reviews(spark: SparkSession, root: str) -> DataFrame:
+def read_reviews(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """(file, hotel, city, date, subject, review) of all review files under ``root``."""
-    parsed = parse_reviews(review_lines(spark, root))
+    parsed = parse_reviews(review_lines(spark, root, skip_hidden))
     return parsed.select(
         "file", file_to_hotel(F.col("file")).alias("hotel"),
         file_to_city(F.col("file")).alias("city"), "date", "subject", "review",

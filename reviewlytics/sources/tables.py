@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from reviewlytics import schema as S
 from reviewlytics.functions.clean import na_to_number, parse_review_date, seed_weight
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids, unique_ids
-from reviewlytics.operators.lineage import cut_lineage
+from reviewlytics.operators.maintenance import one_per_key
 from reviewlytics.schema import Model
 
 RAW_FILES = {
@@ -29,9 +30,12 @@ def read_csv(
     """A CSV with header; quotes inside a quoted field are doubled.
 
     One record per line keeps large files splittable. ``multi_line`` accepts line breaks in
-    quoted fields, at the price of one task per file.
+    quoted fields, at the price of one task per file: give such input as many files. A record with
+    too few or too many fields, as a line break in a quoted field makes it without ``multi_line``,
+    stops the read; columns are not pruned while parsing, so that every record is checked.
     """
     reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+    reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
     return reader.option("quote", '"').option("escape", '"').csv(path)
 
 
@@ -49,25 +53,55 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def load_hotels(raw: DataFrame) -> DataFrame:
-    typed = raw.select(
-        "hotel_name", "address", "city", "country",
-        na_to_number(F.col("star_rating")).alias("star_rating"),
-    )
-    return assign_ids(typed, "hotel_id", ["hotel_name", "city"])
+# Unique keys of the loaded tables; the reviews have none.
+HOTEL_KEY = ["hotel_name", "city"]
+FEATURE_KEY = ["feature_name"]
+SEED_KEY = ["feature_id", "seed_phrase"]
 
 
-def load_features(raw: DataFrame) -> DataFrame:
-    return assign_ids(raw.select("feature_name", "description", "is_active"), "feature_id", ["feature_name"])
+def _first_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    return one_per_key(df, keys).select(*df.columns)
 
 
-def load_seeds(raw: DataFrame, feature: DataFrame) -> DataFrame:
-    """Seeds of known features; weights are forced to whole numbers."""
+def _typed_hotels(raw: DataFrame) -> DataFrame:
+    star = na_to_number(F.col("star_rating")).alias("star_rating")
+    return raw.select("hotel_name", "address", "city", "country", star)
+
+
+def _typed_seeds(raw: DataFrame, feature: DataFrame) -> DataFrame:
     names = feature.select("feature_id", "feature_name")
-    known = join_dimension(raw, names, "feature_name").select(
+    return join_dimension(raw, names, "feature_name").select(
         "feature_id", "seed_phrase", seed_weight(F.col("weight")).alias("weight")
     )
-    return assign_ids(known, "seed_id", ["feature_id", "seed_phrase"])
+
+
+def load_hotels(raw: DataFrame) -> DataFrame:
+    """One hotel per name and city, the smallest row of several."""
+    return assign_ids(_first_of_each(_typed_hotels(raw), HOTEL_KEY), "hotel_id", HOTEL_KEY)
+
+
+def load_features(raw: DataFrame) -> DataFrame:
+    """One feature per name."""
+    typed = raw.select("feature_name", "description", "is_active")
+    return assign_ids(_first_of_each(typed, FEATURE_KEY), "feature_id", FEATURE_KEY)
+
+
+def load_seeds(raw: DataFrame, feature: DataFrame) -> DataFrame:
+    """Seeds of known features, one per feature and phrase; weights are forced to whole numbers."""
+    return assign_ids(_first_of_each(_typed_seeds(raw, feature), SEED_KEY), "seed_id", SEED_KEY)
+
+
+def load_rejections(hotels: DataFrame, features: DataFrame, seeds: DataFrame, feature: DataFrame) -> DataFrame:
+    """Raw rows that were left out as duplicates: table, key (an array), rows."""
+
+    def repeated(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        more = one_per_key(df, keys).filter("_rows > 1")
+        key = F.array(*[F.col(k).cast("string") for k in keys]).alias("key")
+        return more.select(F.lit(table).alias("table"), key, (F.col("_rows") - 1).alias("rows"))
+
+    found = repeated("hotel", _typed_hotels(hotels), HOTEL_KEY)
+    found = found.unionByName(repeated("feature", features, FEATURE_KEY))
+    return found.unionByName(repeated("seed", _typed_seeds(seeds, feature), SEED_KEY))
 
 
 def typed_reviews(raw: DataFrame, hotel: DataFrame) -> DataFrame:
@@ -105,8 +139,31 @@ def _table_path(root: str, table: str) -> str:
     return os.path.join(root, table)
 
 
-def _write(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def _switch(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Put finished folders in the place of old ones; old ones go once all new ones stand."""
+    conf = spark._jsc.hadoopConfiguration()
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    old = []
+    for source, target in moves:
+        fs = new_path(target).getFileSystem(conf)
+        fs.mkdirs(new_path(target).getParent())
+        if fs.exists(new_path(target)):
+            aside = f"{target}-old-{uuid.uuid4().hex}"
+            if not fs.rename(new_path(target), new_path(aside)):
+                raise OSError(f"{target} could not be moved")
+            old.append((fs, aside))
+        if not fs.rename(new_path(source), new_path(target)):
+            raise OSError(f"{source} could not be moved to {target}")
+    for fs, aside in old:
+        fs.delete(new_path(aside), True)
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    """Write beside ``path``, then switch: ``df`` may be read from the table that it replaces, and
+    a failed write leaves that table as it was."""
+    fresh = f"{path}-new-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    _switch(df.sparkSession, [(fresh, path)])
 
 
 def read_tables(spark: SparkSession, root: str) -> Model:
@@ -124,39 +181,48 @@ def reload_tables(
     features: DataFrame,
     seeds: DataFrame,
     reviews: DataFrame,
+    by_hotel: bool = True,
 ) -> Model:
     """Replace all five tables under ``root`` by the raw rows; ratings start empty.
 
     Parents are written before their children look ids up, so every id is read from a table
-    and never recomputed.
+    and never recomputed. Rows left out as duplicates are counted in ``<root>/rejected`` (table,
+    key, rows). All tables are written beside the old ones, which they replace at the end.
     """
-    _write(load_hotels(hotels), _table_path(root, "hotel"))
-    _write(load_features(features), _table_path(root, "feature"))
-    stored = {
-        name: spark.read.schema(S.TABLES[name]).parquet(_table_path(root, name))
-        for name in ("hotel", "feature")
-    }
-    _write(load_seeds(seeds, stored["feature"]), _table_path(root, "seed"))
-    _write(load_reviews(reviews, stored["hotel"]), _table_path(root, "review"))
-    _write(spark.createDataFrame([], S.RATING), _table_path(root, "rating"))
+    fresh = f"{root.rstrip('/')}-new-{uuid.uuid4().hex}"
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(_table_path(fresh, name))
+        return spark.read.schema(df.schema).parquet(_table_path(fresh, name))
+
+    hotel, feature = put("hotel", load_hotels(hotels)), put("feature", load_features(features))
+    put("seed", load_seeds(seeds, feature))
+    put("review", load_reviews(reviews, hotel, by_hotel))
+    put("rating", spark.createDataFrame([], S.RATING))
+    put("rejected", load_rejections(hotels, features, seeds, feature))
+    names = (*S.TABLES, "rejected")
+    _switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in names])
     return read_tables(spark, root)
 
 
-def load_tables(spark: SparkSession, csv_root: str, root: str) -> Model:
-    """Load ``hotels``, ``features``, ``seeds`` and ``reviews`` CSVs into tables under ``root``."""
+def load_tables(
+    spark: SparkSession, csv_root: str, root: str, multi_line: bool = False, by_hotel: bool = True
+) -> Model:
+    """Load ``hotels``, ``features``, ``seeds`` and ``reviews`` CSVs into tables under ``root``.
+
+    Texts with line breaks need ``multi_line``; without it such a record stops the load (see
+    ``read_csv``). ``by_hotel`` as in ``load_reviews``.
+    """
     raw = {
-        name: read_csv(spark, os.path.join(csv_root, name), schema)
+        name: read_csv(spark, os.path.join(csv_root, name), schema, multi_line)
         for name, schema in RAW_FILES.items()
     }
-    return reload_tables(spark, root, **raw)
-
+    return reload_tables(spark, root, **raw, by_hotel=by_hotel)
 
-def write_ratings(rating: DataFrame, root: str, from_stored: bool = False) -> DataFrame:
-    """Replace the Rating table in one job; returns the stored table.
 
-    ``from_stored`` says that ``rating`` is partly read from the table to be replaced, as after
-    a refresh of some hotels: it is then checkpointed first.
-    """
+def write_ratings(rating: DataFrame, root: str) -> DataFrame:
+    """Replace the Rating table in one job; returns the stored table. ``rating`` may be read from
+    the table it replaces, as after a refresh of some hotels."""
     path = _table_path(root, "rating")
-    _write(unique_ids(cut_lineage(rating) if from_stored else rating, "rating_id"), path)
+    _replace(unique_ids(rating.drop("rating_id"), "rating_id"), path)
     return rating.sparkSession.read.parquet(path)

@@ -51,6 +51,7 @@ def test_restrict_to_keys(fact, rows, bounds, exclude):
     hit = fact.filter(F.col("k").isin("hot", "k3")).count()
     assert tables[0].count() == (300 - hit if exclude else hit)
     assert tables[1].count() == (300 if exclude else 0)
+    assert all(t.columns == fact.columns for t in tables)
     [none] = restrict_to_keys([fact], "k", keys.filter("k = 'zzz'"), exclude, *bounds)
     assert none.count() == (300 if exclude else 0)
 

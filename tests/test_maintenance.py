@@ -25,7 +25,22 @@ def model(make_model):
 
 
 def rejections(result):
-    return {(r.key, r.reason): r.rows for r in result.rejected.collect()}
+    return {("|".join(x for x in r.key if x is not None), r.reason): r.rows for r in result.rejected.collect()}
+
+
+def test_keys_with_separators_stay_apart_and_copies_count_once(model, rows):
+    existing = model.with_(feature=model.feature.union(model.feature))  # stored twice
+    new = rows([("Parking", None)], "feature_name string, description string")
+    assert rejections(maintenance.append_features(existing, new)) == {("Parking", "duplicate"): 1}
+    hotels = rows(
+        [("a|b", "c", None), ("a", "b|c", None), ("a|b", "c", None), ("a", "b|c", None)],
+        "hotel_name string, city string, review_text string",
+    )
+    for column in ("address", "country", "reviewer_name"):
+        hotels = hotels.withColumn(column, F.lit(None).cast("string"))
+    hotels = hotels.withColumn("star_rating", F.lit(None).cast("decimal(2,1)"))
+    got = maintenance.append_hotels_with_review(model, hotels).rejected.collect()
+    assert sorted((tuple(r.key), r.rows) for r in got) == [(("a", "b|c"), 1), (("a|b", "c"), 1)]
 
 
 def test_append_features(model, rows):

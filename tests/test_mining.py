@@ -140,11 +140,24 @@ def test_review_sentiment(reviews, words, texts):
                 assert score is None and r[f"{aspect}_label"] is None
             else:
                 assert score == pytest.approx(sum(scores) / len(scores), abs=1e-4)
-                label = "positive" if score >= 0.05 else "negative" if score <= -0.05 else "neutral"
+                total = sum(round(s * 10_000) for s in scores)
+                label = "neutral"
+                if abs(total) >= 500 * len(scores):
+                    label = "positive" if total > 0 else "negative"
                 assert r[f"{aspect}_label"] == label
         assert r.location_score is None
 
 
+def test_label_is_taken_before_rounding(spark):
+    """Means of 0.04995, shown as 0.05, and of 0.05 itself."""
+    means = spark.createDataFrame([(499.5,), (500.0,), (-499.5,), (-500.0,), (0.0,)], "mean double")
+    mean = F.col("mean")
+    got = means.select(sentiment._shown(mean).alias("s"), sentiment._label(mean).alias("l")).collect()
+    assert [(r.s, r.l) for r in got] == [
+        (0.05, "neutral"), (0.05, "positive"), (-0.05, "neutral"), (-0.05, "negative"), (0.0, "neutral"),
+    ]
+
+
 def test_aspect_scores_equal_the_wide_form(reviews, words):
     wide = sentiment.review_sentiment(reviews, words)
     long = sentiment.aspect_scores(reviews, words, ["review"])

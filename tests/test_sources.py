@@ -89,13 +89,67 @@ def test_scores_are_stored_and_refreshed_in_place(spark, loaded, tmp_path):
     assert stored.count() == 3 and stored.select("rating_id").distinct().count() == 3
     m = loaded.with_(rating=stored.drop("rating_id"))
     again = scoring.refresh_hotels(m, loaded.hotel.filter("city = 'Oslo'"), updated=day)
-    replaced = tables.write_ratings(again, root, from_stored=True)
+    replaced = tables.write_ratings(again, root)
     columns = ["hotel_id", "feature_id", "score", "total_mentions"]
     assert sorted(replaced.select(columns).collect()) == sorted(
         scoring.calc_ratings(loaded, updated=day).select(columns).collect()
     )
 
 
+def raw_files(spark, base, *reviews):
+    write(spark, f"{base}/hotels", "hotel_name,address,city,country,star_rating", "Alpha,b,Rome,IT,4", "Alpha,a,Rome,IT,3")
+    write(spark, f"{base}/features", "feature_name,description,is_active", "Price,d,Y", "Price,c,Y", "Bar,,Y")
+    write(spark, f"{base}/seeds", "feature_name,seed_phrase,weight", "Price,cheap,1", "Price,cheap,1", "Bar,cheap,1")
+    write(spark, f"{base}/reviews", "hotel_name,review_text,reviewer_name,review_date,overall_rating", *reviews)
+
+
+def test_line_breaks_are_kept_or_stop_the_load(spark, tmp_path):
+    base, root = str(tmp_path / "csv"), str(tmp_path / "tables")
+    raw_files(spark, base, 'Alpha,"first line\nsecond, ""line""",bob,2024-01-01,4.0', "Alpha,other,,,NA")
+    m = tables.load_tables(spark, base, root, multi_line=True, by_hotel=False)
+    assert sorted((r.review_text, r.reviewer_name) for r in m.review.collect()) == [
+        ('first line\nsecond, "line"', "bob"), ("other", None),
+    ]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.load_tables(spark, base, root)
+    # The failed load has left the tables as they were.
+    assert tables.read_tables(spark, root).review.count() == 2
+
+
+def test_duplicates_are_rejected_and_counted(spark, tmp_path):
+    base, root = str(tmp_path / "csv"), str(tmp_path / "tables")
+    raw_files(spark, base, "Alpha,cheap,,,NA")
+    m = tables.load_tables(spark, base, root)
+    assert [(r.hotel_name, r.address) for r in m.hotel.collect()] == [("Alpha", "a")]
+    assert m.feature.count() == 2 and m.seed.count() == 2 and m.review.count() == 1
+    rejected = {(r.table, tuple(r.key)[-1]): r.rows for r in spark.read.parquet(f"{root}/rejected").collect()}
+    assert rejected == {("hotel", "Rome"): 1, ("feature", "Price"): 1, ("seed", "cheap"): 1}
+    again = tables.load_tables(spark, base, root)  # in place of the first load
+    assert again.hotel.count() == 1 and sorted(os.listdir(root)) == [
+        "feature", "hotel", "rating", "rejected", "review", "seed",
+    ]
+
+
+def test_roots_that_occur_in_names_below_them(spark, tmp_path, monkeypatch):
+    root = tmp_path / "data"
+    (root / "bigdata").mkdir(parents=True)
+    (root / "bigdata" / "data.txt").write_text("d\ts\tb")
+    monkeypatch.chdir(tmp_path)
+    for given in (str(root), f"{root}/", f"file:{root}", f"file://{root}"):
+        [r] = review_files.read_reviews(spark, given).collect()
+        assert (r.file, r.hotel, r.city) == ("bigdata/data.txt", "Data", "Bigdata")
+
+
+def test_files_that_cannot_be_listed_are_named(spark, tmp_path):
+    (tmp_path / "rome").mkdir()
+    (tmp_path / "a.txt").write_text("d\ts\tb")
+    for name in ("_inn.txt", "rome/.inn.txt", "_SUCCESS", ".a.txt.crc"):
+        (tmp_path / name).write_text("d\ts\tb")
+    with pytest.raises(ValueError, match=r"2 files .*_inn.txt, rome/.inn.txt"):
+        review_files.read_reviews(spark, str(tmp_path))
+    assert review_files.read_reviews(spark, str(tmp_path), skip_hidden=True).count() == 1
+
+
 def test_stored_reviews_answer_a_search(loaded):
     assert {r.review_text for r in recent_reviews(loaded, "ALPHA").collect()} == {"clean, really", "so so"}
 

@@ -170,7 +170,7 @@ class Binding:
         )
 
     def raw_reviews(self) -> DataFrame:
-        """All strings, dates in three shapes, one of them unreadable; one line per text."""
+        """All strings, dates in three shapes, one of them unreadable; texts keep their line breaks."""
         date = F.col("review_date")
         shape = F.col("review_id") % 3
         raw_date = (
@@ -181,7 +181,7 @@ class Binding:
         hotels = self.hotel().select("hotel_id", "hotel_name")
         return join_dimension(self.review(), hotels, "hotel_id").select(
             "hotel_name",
-            one_line(F.col("review_text")).alias("review_text"),
+            "review_text",
             "reviewer_name",
             raw_date.alias("review_date"),
             F.coalesce(F.col("overall_rating").cast("string"), F.lit("NA")).alias("overall_rating"),

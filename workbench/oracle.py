@@ -72,6 +72,14 @@ def label(score: str) -> str:
     )
 
 
+def label_of_mean(total: str, n: str) -> str:
+    """Label of total / n, both whole numbers; polarities are scaled by 10,000."""
+    return (
+        f"CASE WHEN {total} >= 500 * {n} THEN 'positive' WHEN {total} <= -500 * {n} THEN 'negative'"
+        " ELSE 'neutral' END"
+    )
+
+
 def band(score: str) -> str:
     return f"CASE WHEN {score} >= 4 THEN 'Green' WHEN {score} >= 3 THEN 'Orange' ELSE 'Red' END"
 
@@ -91,7 +99,6 @@ RAW_STAR = (
     "CASE WHEN s_suppkey % 5 = 0 THEN 'NA'"
     " ELSE CAST(CAST((s_suppkey % 9 + 2) / 2.0 AS DECIMAL(2,1)) AS VARCHAR) END"
 )
-ONE_LINE = r"trim(regexp_replace(review_text, '\s+', ' ', 'g'))"
 SLASH = r"'^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$'"
 ISO = r"'^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"
 PARSED_DATE = (
@@ -156,8 +163,8 @@ CTES = {
                CASE WHEN n_chars % 11 <> 0
                     THEN CAST(1 + (n_chars % 9) * 0.5 AS DECIMAL(2,1)) END AS overall_rating
         FROM (SELECT *, doc_id % (SELECT count(*) FROM supplier) AS nth FROM documents) AS d""",
-    "raw_review": f"""
-        SELECT hotel_name, {ONE_LINE} AS review_text, reviewer_name,
+    "raw_review": """
+        SELECT hotel_name, review_text, reviewer_name,
                CASE review_id % 3 WHEN 0 THEN strftime(review_date, '%-m/%-d/%y')
                     WHEN 1 THEN strftime(review_date, '%Y-%m-%d')
                     ELSE strftime(review_date, '%d.%m.%Y') END AS review_date,
@@ -272,7 +279,7 @@ CTES = {
               FROM token JOIN keyword ON token.lemma = keyword.lemma) AS m
         LEFT JOIN valence USING (doc_id, sentence_no)""",
     "aspect_score": """
-        SELECT doc_id, aspect,
+        SELECT doc_id, aspect, CAST(sum(scaled) AS BIGINT) AS total, count(*) AS n,
                round(CAST(sum(scaled) AS DOUBLE) / count(*)) / 10000.0::DOUBLE AS score
         FROM overlap GROUP BY ALL""",
     "whole": f"""

@@ -786,7 +786,7 @@ def load_tables(b: Binding) -> DataFrame:
     root = scratch_folder(b.spark, "load")
     for name, rows in raw_tables(b).items():
         tables.write_csv(rows, f"{root}/csv/{name}")
-    m = tables.load_tables(b.spark, f"{root}/csv", f"{root}/tables")
+    m = tables.load_tables(b.spark, f"{root}/csv", f"{root}/tables", multi_line=True)
     return loaded_review_rows(m.review, m.hotel)
 
 
@@ -979,7 +979,7 @@ def aspect_keyword_overlap(b: Binding) -> DataFrame:
 
 @register(
     "aspect_scores",
-    O.query(f"SELECT doc_id, aspect, score, {O.label('score')} AS label FROM aspect_score"),
+    O.query(f"SELECT doc_id, aspect, score, {O.label_of_mean('total', 'n')} AS label FROM aspect_score"),
 )
 def aspect_scores(b: Binding) -> DataFrame:
     return sentiment.aspect_scores(b.mined_reviews(), b.word_tables(), ["doc_id"])
@@ -989,9 +989,10 @@ def _aspect_columns(number: str) -> str:
     parts = []
     for a in ASPECTS:
         score = f"max(CASE WHEN aspect = '{a}' THEN score END)"
+        total, n = (f"max(CASE WHEN aspect = '{a}' THEN aspect_score.{c} END)" for c in ("total", "n"))
         shown = number.format(score)
         parts.append(
-            f"{shown} AS {a}_score, CASE WHEN {score} IS NOT NULL THEN {O.label(score)} END"
+            f"{shown} AS {a}_score, CASE WHEN {score} IS NOT NULL THEN {O.label_of_mean(total, n)} END"
             f" AS {a}_label"
         )
     return ", ".join(parts)
@@ -1168,7 +1169,9 @@ def outcome(result, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     return accepted.unionByName(
-        result.rejected.select(F.col("reason").alias("outcome"), "key", F.col("rows").alias("n"))
+        result.rejected.select(
+            F.col("reason").alias("outcome"), F.array_join("key", "|").alias("key"), F.col("rows").alias("n")
+        )
     )
 
 
@@ -1234,7 +1237,7 @@ def append_reviews(b: Binding) -> DataFrame:
         F.lit("accepted").alias("outcome"), F.col("hotel_name").alias("key")
     ).agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("review_date"), "yyyy-MM-dd").alias("first_date"))
     rejected = result.rejected.select(
-        F.col("reason").alias("outcome"), "key", F.col("rows").alias("n"),
+        F.col("reason").alias("outcome"), F.get("key", F.lit(0)).alias("key"), F.col("rows").alias("n"),
         F.lit(None).cast("string").alias("first_date"),
     )
     return accepted.unionByName(rejected)
@@ -1290,7 +1293,7 @@ def append_hotels_with_review(b: Binding) -> DataFrame:
         F.lit("accepted").alias("outcome"), F.col("city").alias("key")
     ).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("reviews"), F.lit(0)).alias("reviews"))
     rejected = result.rejected.groupBy(
-        F.col("reason").alias("outcome"), F.split_part("key", F.lit("|"), F.lit(2)).alias("key")
+        F.col("reason").alias("outcome"), F.get("key", F.lit(1)).alias("key")
     ).agg(F.sum("rows").alias("n"), F.lit(0).cast("bigint").alias("reviews"))
     return accepted.unionByName(rejected)
 
