@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reviewlytics.operators.lineage import scratch_folder
 
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

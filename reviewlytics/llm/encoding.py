@@ -22,7 +22,7 @@ from reviewlytics.llm.common import ranks
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that one worker remembers; beyond, it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 _ODD = np.zeros(256, bool)
 _ODD[[0x3C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD_TEXT = re.compile(

@@ -9,8 +9,8 @@ Only connected groups are asked for, so no bucket is turned into all its pairs:
 
 * buckets of at most ``SMALL`` classes give all pairs, a constant number per class;
 * a larger bucket links its members to a few centres; where that leaves members outside the main
-  group of the bucket, a few such members meet all others, and many are split again by a second
-  band before they meet, since unlike texts hardly share two;
+  group of the bucket, such members meet the others in blocks, within a task; where they are many
+  the bucket is split again by a second band first, since unlike texts hardly share two;
 * signatures, sets and texts are joined by merging at every size, so that small inputs run the plan
   of large ones;
 * of a class's surviving pairs the most promising is verified first, and others only where their
@@ -273,7 +273,7 @@ def near_duplicates(
     links = verifier.links(candidates)
     groups = components(links, "a", "b")
     if not large.isEmpty():
-        rest = _rest(large, groups, reps, bands)
+        rest = _rest(large, groups, reps, bands, _survive(n, threshold / 100, miss))
         if not rest.isEmpty():
             links = links.unionByName(verifier.links(rest))
             groups = components(links, "a", "b")
@@ -289,24 +289,65 @@ def near_duplicates(
     )
 
 
-def _rest(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: int) -> DataFrame:
-    """Pairs of large buckets that centres left open."""
+def _rest(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: int, survive) -> DataFrame:
+    """Pairs of large buckets that centres left open and that survive pruning.
+
+    Members outside a bucket's main group are gathered in blocks of about ``FEW``, which meet every
+    member as one row, so the pairs exist in a task's memory only. Buckets with more such members
+    are split by a second band first.
+    """
     known = groups.select(F.col("id").alias("rep"), "component_id")
     placed = large.join(known, "rep", "left")
     placed = stored(placed.select("key", "rep", "n", F.coalesce("component_id", "rep").alias("comp")), "placed")
     counts = placed.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"))
     main = main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("outside"))
-    placed = placed.join(main.where("outside > 0"), "key")
-
-    def against(few: DataFrame, every: DataFrame) -> DataFrame:
-        x = few.where("comp != main").select("key", F.col("rep").alias("x"), F.col("comp").alias("x_in"))
-        pairs = x.join(every, "key").where("x_in != comp")
-        return pairs.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-
-    few = placed.where(F.col("outside") <= FEW)
-    many = placed.where(F.col("outside") > FEW).join(reps, "rep").select("key", "rep", "comp", "sig")
-    finer = many.mapInArrow(_banded_twice(bands), "key bigint, rep bigint, comp bigint")
-    mixed = finer.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("other"))
-    finer = finer.join(mixed.where("main != other"), "key")
-    return stored(against(few, few).union(against(finer, finer)).distinct(), "rest")
+    placed = placed.join(main.where("outside > 0"), "key").join(reps.hint("merge"), "rep")
+    placed = stored(placed.select("key", "rep", "comp", "main", "outside", "sig"), "placed")
+    finer = placed.where(F.col("outside") > FEW).mapInArrow(
+        _banded_twice(bands), "key bigint, rep bigint, comp bigint"
+    )
+    finer = stored(finer, "finer")
+    mixed = finer.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("top"))
+    mixed = mixed.where("main != top").select("key", "main")
+    outside = finer.join(mixed, "key").where("comp != main").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
+    finer = finer.join(mixed.join(outside, "key"), "key").join(reps.hint("merge"), "rep")
+    every = placed.where(F.col("outside") <= FEW).unionByName(finer.select(*placed.columns))
+    every = stored(every, "open")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / FEW)).alias("block")
+    blocks = every.where("comp != main").groupBy("key", block)
+    blocks = blocks.agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("others")).select("key", "others")
+    met = every.select("key", "rep", "comp", "sig").join(blocks, "key")
+    return stored(met.select("rep", "comp", "sig", "others").mapInArrow(survive, "a bigint, b bigint").distinct(), "rest")
+
+
+def _survive(n: int, threshold: float, miss: float):
+    """Pairs of each row's class and the classes beside it that belong to another group."""
+    least = least_matches(n, threshold, miss)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _matrix(batch.column("sig"))
+            rep, comp = batch.column("rep").to_numpy(), batch.column("comp").to_numpy()
+            others = batch.column("others")
+            sizes = np.diff(others.offsets.to_numpy())
+            flat = others.flatten()
+            theirs, their_rep, their_comp = _matrix(flat.field("sig")), flat.field("rep").to_numpy(), flat.field("comp").to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            out = []
+            for begin in range(0, len(row), 1 << 17):
+                at = np.arange(begin, min(begin + (1 << 17), len(row)))
+                at = at[(comp[row[at]] != their_comp[at]) & (rep[row[at]] != their_rep[at])]
+                equal = np.zeros(len(at), np.int64)
+                for k, m in enumerate(least):
+                    part = slice(k * BATCH, (k + 1) * BATCH)
+                    equal += (sig[row[at], part] == theirs[at, part]).sum(axis=1)
+                    keep = equal >= m
+                    at, equal = at[keep], equal[keep]
+                out.append(np.sort(np.stack([rep[row[at]], their_rep[at]]), axis=0))
+            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+    return run

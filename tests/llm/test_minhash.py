@@ -70,9 +70,10 @@ def test_repeated_rows_stay(spark):
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(1, 1, True)] + [(3, 1, False)] * 3
 
 
-@pytest.mark.parametrize("small", [minhash.SMALL, 3])
-def test_groups_against_brute_force(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, few", [(minhash.SMALL, minhash.FEW), (3, minhash.FEW), (3, 2)])
+def test_groups_against_brute_force(spark, monkeypatch, small, few):
     monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "FEW", few)
     rows = [(1000 + k, text(k, 60)) for k in range(30)]
     rows += [(k, edited(text(5, 120), k)) for k in range(60)]  # a group of near copies, edits far apart
     rows += [(200 + k, text(900, 40) + " " + text(100 + k, 60)) for k in range(40)]  # a common passage
