@@ -3,11 +3,11 @@
 A seed phrase is a case-insensitive regex, and it matches inside words. Every text has to be
 tested against every phrase, so the plan is about doing that in one narrow pass:
 
-* Seeds are a dimension. They are collected in batches of a checked size; one batch makes one
-  pass over the reviews, and further batches make further passes, so no seed is ever dropped.
+* Seeds are a dimension. They are collected in batches of a checked size, all of which meet the
+  reviews in the same pass, so no seed is ever dropped and texts are read once.
 * Plain phrases (printable ASCII, no regex operator; practically all of them) are found by one
-  multi-pattern automaton per task, fed with Arrow batches. Its cost does not depend on the
-  number of phrases.
+  multi-pattern automaton per batch, built once per Python worker and fed with Arrow batches. Its
+  cost does not depend on the number of phrases.
 * Real regexes stay in the JVM as constant patterns, compiled once per task.
 * Texts are never shuffled, exploded or joined: the matches of a review are an array next to
   its ids, and the text is dropped right there.
@@ -16,9 +16,9 @@ tested against every phrase, so the plan is about doing that in one narrow pass:
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
@@ -35,7 +35,7 @@ _PLAIN = re.compile(r"[ !\"#%&',\-/0-9:;<=>@A-Z_`a-z~]+")
 
 @dataclass(frozen=True)
 class MatchLimits:
-    """Sizes of one pass. Larger seed tables take more passes."""
+    """Sizes of one batch of seeds. Larger seed tables make more batches."""
 
     plain_per_pass: int = 200_000
     regexes_per_pass: int = 200
@@ -91,40 +91,55 @@ def _split(rows: list[Row], use_automaton: bool, limits: MatchLimits) -> Iterato
         yield SeedBatch((), tuple(regexes[start : start + step]))
 
 
-def _plain_hits(text: Column, batch: SeedBatch, spark) -> Column:
-    seeds = spark.sparkContext.broadcast(batch.plain)
+#: Automata of the seed batches that a Python worker met last; tasks of one query share them.
+_AUTOMATA: dict[str, tuple] = {}
+_KEPT_AUTOMATA = 16
 
-    # Everything the tasks need is inside: executors do not have to import this package.
-    def count_matches(automaton, folded: str) -> dict[int, int]:
-        """Non-overlapping occurrences per phrase, keyed by the phrase's first seed."""
-        free_from: dict[int, int] = {}
-        counts: dict[int, int] = {}
-        for end, (length, members) in automaton.iter(folded):
-            phrase = members[0]
-            if end - length + 1 >= free_from.get(phrase, 0):
-                free_from[phrase] = end + 1
-                counts[phrase] = counts.get(phrase, 0) + 1
-        return counts
 
-    @F.arrow_udf(f"array<{HIT}>")
-    def hits_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _automaton(name: str, seeds: tuple) -> tuple:
+    """Automaton over the phrases of a batch, and the seeds of each phrase."""
+    if name not in _AUTOMATA:
         import ahocorasick
 
         by_phrase: dict[str, list[int]] = {}
-        for nth, (phrase, *_) in enumerate(seeds.value):
+        for nth, (phrase, *_) in enumerate(seeds):
             by_phrase.setdefault(phrase, []).append(nth)
         automaton = ahocorasick.Automaton()
         for phrase, members in by_phrase.items():
             automaton.add_word(phrase, (len(phrase), members))
         automaton.make_automaton()
+        while len(_AUTOMATA) >= _KEPT_AUTOMATA:
+            del _AUTOMATA[next(iter(_AUTOMATA))]
+        _AUTOMATA[name] = automaton, by_phrase
+    return _AUTOMATA[name]
+
+
+def _count_matches(automaton, folded: str) -> dict[int, int]:
+    """Non-overlapping occurrences per phrase, keyed by the phrase's first seed."""
+    free_from: dict[int, int] = {}
+    counts: dict[int, int] = {}
+    for end, (length, members) in automaton.iter(folded):
+        phrase = members[0]
+        if end - length + 1 >= free_from.get(phrase, 0):
+            free_from[phrase] = end + 1
+            counts[phrase] = counts.get(phrase, 0) + 1
+    return counts
+
+
+def _plain_hits(text: Column, batches: list[SeedBatch], spark) -> Column:
+    sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b.plain)) for b in batches]
 
-        for texts in batches:
+    @F.arrow_udf(f"array<{HIT}>")
+    def hits_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automata = [(*_automaton(name, seeds.value), seeds.value) for name, seeds in sent]
+        for texts in parts:
             offsets, columns = [0], ([], [], [], [])
             for folded in texts.to_pylist():
-                for first, count in count_matches(automaton, folded or "").items():
-                    for nth in by_phrase[seeds.value[first][0]]:
-                        for column, value in zip(columns, (*seeds.value[nth][1:], count)):
-                            column.append(value)
+                for automaton, by_phrase, seeds in automata:
+                    for first, count in _count_matches(automaton, folded or "").items():
+                        for nth in by_phrase[seeds[first][0]]:
+                            for column, value in zip(columns, (*seeds[nth][1:], count)):
+                                column.append(value)
                 offsets.append(len(columns[0]))
             structs = pa.StructArray.from_arrays(
                 [pa.array(column, pa.int64()) for column in columns],
@@ -145,23 +160,17 @@ def _regex_hits(text: Column, batch: SeedBatch) -> Column:
     return F.filter(F.array(found), lambda hit: hit["mentions"] > 0)
 
 
-def _attach(review: DataFrame, batch: SeedBatch, keep: list[str], text: str) -> DataFrame:
-    arrays = []
-    if batch.plain:
-        arrays.append(_plain_hits(F.col(text), batch, review.sparkSession))
-    if batch.regexes:
-        arrays.append(_regex_hits(F.col(text), batch))
+def _attach(review: DataFrame, seed: DataFrame, keep: list[str], text: str, limits: MatchLimits) -> DataFrame:
+    """``keep`` and the hits of all seeds, in one pass over the texts."""
+    batches = list(seed_batches(seed, limits))
+    arrays = [_regex_hits(F.col(text), batch) for batch in batches if batch.regexes]
+    plain = [batch for batch in batches if batch.plain]
+    if plain:
+        arrays.append(_plain_hits(F.col(text), plain, review.sparkSession))
     hits = F.concat(*arrays) if arrays else F.array().cast(f"array<{HIT}>")
     return review.select(*keep, hits.alias("hits"))
 
 
-def _long_form(attached: DataFrame, keep: list[str]) -> DataFrame:
-    # A plain inline makes the optimizer filter on size(hits) > 0 further down, which finds
-    # all hits twice. The outer form does not; its row for a text without hits is dropped here.
-    rows = attached.select(*keep, F.inline_outer("hits"))
-    return rows.filter(F.col("seed_id").isNotNull())
-
-
 def match_seeds(
     review: DataFrame,
     seed: DataFrame,
@@ -170,11 +179,11 @@ def match_seeds(
     limits: MatchLimits = MatchLimits(),
 ) -> DataFrame:
     """One row per (review, matching seed): ``keep`` + seed_id, feature_id, weight, mentions."""
-    passes = [
-        _long_form(_attach(review, batch, keep, text), keep)
-        for batch in seed_batches(seed, limits)
-    ]
-    return reduce(DataFrame.unionByName, passes)
+    attached = _attach(review, seed, keep, text, limits)
+    # A plain inline makes the optimizer filter on size(hits) > 0 further down, which finds
+    # all hits twice. The outer form does not; its row for a text without hits is dropped here.
+    rows = attached.select(*keep, F.inline_outer("hits"))
+    return rows.filter(F.col("seed_id").isNotNull())
 
 
 def sentiment_per_feature(
@@ -186,17 +195,9 @@ def sentiment_per_feature(
 ) -> DataFrame:
     """One row per (review, feature with a match): ``keep`` + feature_id, sentiment.
 
-    ``keep`` must identify the review. The sum over the seeds of a feature is taken inside the
-    review's row; only a seed table of several passes needs a shuffle for it.
+    The sum over the seeds of a feature is taken inside the review's row, whatever their number.
     """
-    batches = list(seed_batches(seed, limits))
-    if len(batches) > 1:
-        long = reduce(
-            DataFrame.unionByName,
-            [_long_form(_attach(review, b, keep, text), keep) for b in batches],
-        )
-        return long.groupBy(*keep, "feature_id").agg(F.sum("weight").alias("sentiment"))
-    attached = _attach(review, batches[0], keep, text)
+    attached = _attach(review, seed, keep, text, limits)
     per_feature = F.transform(
         F.array_distinct(F.transform("hits", lambda hit: hit["feature_id"])),
         lambda feature: F.struct(

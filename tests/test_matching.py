@@ -109,12 +109,15 @@ def test_folding_agrees_with_the_regex_engine(spark):
     assert df.filter(wrong).count() == 0
 
 
-def test_the_text_is_read_once_and_never_shuffled(tables, plan_of):
+@pytest.mark.parametrize("way", ["one pass", "many passes"])
+def test_the_text_is_read_once_and_never_shuffled(tables, plan_of, way):
     review, seed = tables
+    assert len(list(matching.seed_batches(seed, WAYS[way]))) > (4 if way == "many passes" else 0)
     for df in (
-        match_seeds(review, seed, ["review_id"]),
-        sentiment_per_feature(review, seed, ["review_id"]),
+        match_seeds(review, seed, ["review_id"], limits=WAYS[way]),
+        sentiment_per_feature(review, seed, ["review_id"], limits=WAYS[way]),
     ):
         plan = plan_of(df)
+        assert plan.count("Scan") == 1 and "Union" not in plan
         assert "Exchange" not in plan and "Join" not in plan and "Cartesian" not in plan
         assert plan.count("ArrowEvalPython") == 1
