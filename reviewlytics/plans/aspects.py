@@ -11,10 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlytics.functions.text import VALENCE_PLACES
+from reviewlytics.functions.text import VALENCE_PLACES, sentences, words
 from reviewlytics.operators.bounded import local_rows
 from reviewlytics.operators.dictionary import (
-    Dictionary,
+    MAX_DICTIONARY_ROWS,
+    RowDictionary,
     collect_dictionary,
     empty_dictionary,
 )
@@ -41,7 +42,7 @@ ASPECTS = tuple(ASPECT_KEYWORDS)
 
 def default_aspect_keywords(spark: SparkSession) -> DataFrame:
     """(aspect, keyword)"""
-    rows = [(a, k) for a, words in ASPECT_KEYWORDS.items() for k in words]
+    rows = [(a, k) for a, names in ASPECT_KEYWORDS.items() for k in names]
     return local_rows(spark, rows, "aspect string, keyword string")
 
 
@@ -70,27 +71,44 @@ class WordTables:
     stop_word: DataFrame | None = None
     token_lemma: DataFrame | None = None
     token_tag: DataFrame | None = None
+    #: Tables of more rows are joined instead of becoming literals; the results are the same.
+    bound: int = MAX_DICTIONARY_ROWS
 
 
 class WordLookups:
-    """The word tables as in-row lookups."""
+    """The word tables as in-row lookups. Tables beyond ``bound`` rows are looked up in columns that
+    ``attach`` adds to the texts; ``columns`` names them, and selections have to carry them along."""
 
-    def __init__(self, tables: WordTables):
+    def __init__(self, tables: WordTables, bound: int | None = None):
+        self.bound = tables.bound if bound is None else bound
         valence = F.round(F.col("valence") * 10**VALENCE_PLACES, 0).cast("bigint")
-        self.valences = collect_dictionary(tables.lexicon, "token", valence, "bigint")
+        self.valences = collect_dictionary(
+            tables.lexicon, "token", valence, "bigint", bound=self.bound, name="_valences"
+        )
         self.keywords = collect_dictionary(
             keyword_lemmas(tables.aspect_keyword, tables.token_lemma),
-            "lemma", F.col("aspect"), "string", many=True,
+            "lemma", F.col("aspect"), "string", many=True, bound=self.bound, name="_keywords",
         )
-        self.stop_words = self._optional(tables.stop_word, "token", "string")
-        self.lemmas = self._optional(tables.token_lemma, "lemma", "string")
-        self.tags = self._optional(tables.token_tag, "tag", "string")
-
-    @staticmethod
-    def _optional(table: DataFrame | None, value: str, value_type: str) -> Dictionary:
+        self.stop_words = self._optional(tables.stop_word, "token", "string", "_stop_words")
+        self.lemmas = self._optional(tables.token_lemma, "lemma", "string", "_lemmas")
+        self.tags = self._optional(tables.token_tag, "tag", "string", "_tags")
+        every = (self.valences, self.lemmas, self.stop_words, self.tags, self.keywords)
+        self.large = [d for d in every if isinstance(d, RowDictionary)]
+        self.columns = [d.name for d in self.large]
+
+    def _optional(self, table: DataFrame | None, value: str, value_type: str, name: str):
         if table is None:
             return empty_dictionary(value_type)
-        return collect_dictionary(table, "token", F.col(value), value_type)
+        return collect_dictionary(table, "token", F.col(value), value_type, bound=self.bound, name=name)
+
+    def attach(self, texts: DataFrame, text: str) -> DataFrame:
+        """``texts`` with the entries of the large tables that each text needs."""
+        tokens = F.flatten(F.transform(sentences(F.coalesce(F.col(text), F.lit(""))), words))
+        for dictionary in self.large:
+            # Keywords come last: they are looked up by lemma.
+            found = F.transform(tokens, self.lemma) if dictionary is self.keywords else tokens
+            texts = dictionary.attach(texts, text, found)
+        return texts
 
     def valence(self, word: Column) -> Column:
         return self.valences.value_of(word)

@@ -30,7 +30,8 @@ MIN_PHRASE_FREQ = 2
 def sentence_words(
     reviews: DataFrame, look: WordLookups, keys: list[str], text: str = "review"
 ) -> DataFrame:
-    """One row per sentence that has clean words: keys + sentence_no, words, clean."""
+    """One row per sentence that has clean words: keys + sentence_no, words, clean. ``keys`` includes
+    the columns of the lookups' large tables, if any."""
     sentence = reviews.select(*keys, F.posexplode(sentences(F.col(text))).alias("sentence_no", "s"))
     # explode of a one-element array evaluates the tokeniser once.
     split = sentence.select(*keys, "sentence_no", F.explode(F.array(words(F.col("s")))).alias("words"))
@@ -64,7 +65,8 @@ def aspect_phrases(
     ``polarity`` is that of the whole sentence, scaled to a long.
     """
     look = WordLookups(tables)
-    sentence = sentence_words(reviews, look, keys, text).filter(
+    carried = [*keys, *look.columns]
+    sentence = sentence_words(look.attach(reviews, text), look, carried, text).filter(
         F.exists("clean", look.is_keyword)
     )
     keyword_at = F.filter(
@@ -72,7 +74,7 @@ def aspect_phrases(
         lambda i: i.isNotNull(),
     )
     occurrence = sentence.select(
-        *keys, "sentence_no", "clean",
+        *carried, "sentence_no", "clean",
         F.explode(F.array(polarity(valence_sum(F.col("words"), look.valence)))).alias("polarity"),
     ).select("*", F.explode(keyword_at).alias("pos"))
     phrase = occurrence.select("*", F.explode(_phrases(look)).alias("phrase"))

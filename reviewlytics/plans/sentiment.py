@@ -40,7 +40,7 @@ def _annotated(reviews: DataFrame, look: WordLookups, text: str) -> DataFrame:
     # explode of a one-element array evaluates the expression once, however often the
     # aggregates below refer to it.
     facts = F.array(_sentence_facts(F.coalesce(F.col(text), F.lit("")), look))
-    return reviews.withColumn("_facts", F.explode(facts))
+    return look.attach(reviews, text).withColumn("_facts", F.explode(facts)).drop(*look.columns)
 
 
 def _mean_polarity(aspect: str) -> Column:

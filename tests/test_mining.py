@@ -7,6 +7,8 @@ import random
 import re
 from collections import defaultdict
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,20 @@ def test_review_sentiment(reviews, words, texts):
         assert r.location_score is None
 
 
+def test_tables_beyond_the_bound_give_the_same_rows(reviews, words):
+    """Every table joined instead of made a literal."""
+    joined = replace(words, bound=1)
+    for run in (
+        lambda w: sentiment.review_sentiment(reviews, w),
+        lambda w: sentiment.aspect_scores(reviews, w, ["review"]),
+        lambda w: mining.aspect_phrases(reviews, w, ["file"]),
+        lambda w: mining.seed_terms(reviews, w, by_hotel=True),
+    ):
+        small, large = run(words), run(joined)
+        assert small.columns == large.columns
+        assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 def test_label_is_taken_before_rounding(spark):
     """Means of 0.04995, shown as 0.05, and of 0.05 itself."""
     means = spark.createDataFrame([(499.5,), (500.0,), (-499.5,), (-500.0,), (0.0,)], "mean double")
