@@ -37,6 +37,7 @@ class AppendedHotels(NamedTuple):
     review: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    accepted_reviews: DataFrame
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,7 +184,7 @@ def append_hotels_with_review(
         _rejected(new.filter(missing), keys, "missing name", one)
     ).unionByName(_rejected(new.filter(bad_star), keys, "star rating out of range", one))
     return AppendedHotels(
-        m.hotel.unionByName(hotels), m.review.unionByName(reviews), hotels, rejected
+        m.hotel.unionByName(hotels), m.review.unionByName(reviews), hotels, rejected, reviews
     )
 
 

@@ -205,6 +205,32 @@ def reload_tables(
     return read_tables(spark, root)
 
 
+def write_tables(m: Model, root: str) -> Model:
+    """Store a model's tables under ``root``, beside any old ones until all are written."""
+    spark = m.hotel.sparkSession
+    fresh = f"{root.rstrip('/')}-new-{uuid.uuid4().hex}"
+    for name, schema in S.TABLES.items():
+        df = getattr(m, name)
+        df = spark.createDataFrame([], schema) if df is None else df.select(*schema.fieldNames())
+        df.write.parquet(_table_path(fresh, name))
+    _switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in S.TABLES])
+    return read_tables(spark, root)
+
+
+def put_aside(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """Rows meant for a table, written once: what is read back has fixed ids."""
+    path = f"{_table_path(root, name)}-added-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(S.TABLES[name]).parquet(path)
+
+
+def append_rows(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """Append accepted rows to a stored table; returns the rows as stored."""
+    stored = put_aside(rows.select(*S.TABLES[name].fieldNames()), root, name)
+    stored.write.mode("append").parquet(_table_path(root, name))
+    return stored
+
+
 def load_tables(
     spark: SparkSession, csv_root: str, root: str, multi_line: bool = False, by_hotel: bool = True
 ) -> Model:

@@ -19,7 +19,7 @@ KINDS = [
     "calc_ratings", "refresh_hotels", "v_hotel_overall", "v_seed_word_analysis", "rating_card_scores",
     "feature_pivot", "load_tables", "read_reviews", "review_sentiment", "write_review_sentiment",
     "seed_terms", "phrase_scores_by_hotel", "append_seeds", "append_hotels_with_review",
-    "validate_constraints", "cascade_delete",
+    "validate_constraints", "cascade_delete", "add_reviews_and_rescore", "add_hotels_and_rescore",
 ]
 KEYS = list(REGISTRY) if os.environ.get("ALL_QUERIES") else KINDS
 # The searched hotel and city do not exist at this scale.

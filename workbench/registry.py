@@ -16,7 +16,7 @@ from reviewlytics.operators import maintenance
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids
 from reviewlytics.operators.lineage import scratch_folder
-from reviewlytics.plans import mining, scoring, search, sentiment, views
+from reviewlytics.plans import mining, scoring, search, sentiment, upkeep, views
 from reviewlytics.plans.aspects import ASPECTS, WordLookups, keyword_lemmas
 from reviewlytics.schema import RATING_TYPE, Model
 from reviewlytics.sources import exports, review_files, tables
@@ -1298,6 +1298,48 @@ def append_hotels_with_review(b: Binding) -> DataFrame:
     return accepted.unionByName(rejected)
 
 
+@register("add_reviews_and_rescore", O.query(RATING_SQL, review=REVIEW_WITH_NEW))
+def add_reviews_and_rescore(b: Binding) -> DataFrame:
+    """Stored tables, stored ratings: only the touched hotels' reviews are matched."""
+    root = scratch_folder(b.spark, "upkeep")
+    tables.write_tables(b.model(), root)
+    return rating_rows(upkeep.add_reviews(b.spark, root, new_reviews(b), UPDATED, updated=UPDATED).model.rating)
+
+
+# The ids of added hotels are no part of the result; any unused numbers do.
+HOTEL_WITH_NEW = f"""
+    SELECT hotel_id, hotel_name, address, city, country, star_rating FROM ({O.CTES["hotel"]}) AS h
+    UNION ALL
+    SELECT 1000000000 + row_number() OVER (ORDER BY n.hotel_name, n.city), n.hotel_name, NULL, n.city,
+           NULL, n.star_rating
+    FROM ({NEW_HOTEL_SQL}) AS n LEFT JOIN raw_hotel AS r
+    ON r.hotel_name = n.hotel_name AND r.city = n.city
+    WHERE r.hotel_name IS NULL AND n.star_rating BETWEEN 1 AND 5"""
+REVIEW_OF_NEW = f"""
+    SELECT review_id, hotel_id, review_text, reviewer_name, review_date, overall_rating
+    FROM ({O.CTES["review"]}) AS r
+    UNION ALL
+    SELECT 1000000000 + h.hotel_id, h.hotel_id, n.review_text, NULL, DATE '2025-01-01', NULL
+    FROM ({NEW_HOTEL_SQL}) AS n JOIN hotel AS h USING (hotel_name)
+    WHERE h.hotel_id > 1000000000 AND h.city = n.city AND n.review_text <> ''"""
+
+
+@register(
+    "add_hotels_and_rescore",
+    O.query(
+        """SELECT hotel_name, city, feature_id, CAST(score AS DOUBLE) AS score, total_mentions,
+        positive_mentions, negative_mentions FROM rating JOIN hotel USING (hotel_id)""",
+        hotel=HOTEL_WITH_NEW, review=REVIEW_OF_NEW,
+    ),
+)
+def add_hotels_and_rescore(b: Binding) -> DataFrame:
+    root = scratch_folder(b.spark, "upkeep")
+    tables.write_tables(b.model(), root)
+    m = upkeep.add_hotels(b.spark, root, new_hotels(b), UPDATED, updated=UPDATED).model
+    named = join_dimension(rating_rows(m.rating), m.hotel.select("hotel_id", "hotel_name", "city"), "hotel_id")
+    return named.drop("hotel_id")
+
+
 # A broken copy of the tables: the added hotels and reviews go in unchecked.
 @register(
     "validate_constraints",
