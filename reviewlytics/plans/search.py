@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlytics.functions.clean import rating_band, review_defaults, star_string
 from reviewlytics.functions.numbers import exact_mean, round_half_even, round_half_up
-from reviewlytics.operators.bounded import restrict_to_keys
+from reviewlytics.operators.bounded import join_dimension, restrict_to_keys
 from reviewlytics.plans.scoring import active_features as active_rows
 from reviewlytics.plans.views import review_stats, with_hotel_stats
 from reviewlytics.schema import Model
@@ -50,9 +50,8 @@ def _for_hotels(m: Model, hotel: DataFrame) -> Model:
 
 def rating_feature_scores(m: Model) -> DataFrame:
     """(hotel_id, feature_id, feature_name, score): ratings with the name of their feature."""
-    return m.rating.select("hotel_id", "feature_id", "score").join(
-        m.feature.select("feature_id", "feature_name"), "feature_id"
-    )
+    names = m.feature.select("feature_id", "feature_name")
+    return join_dimension(m.rating.select("hotel_id", "feature_id", "score"), names, "feature_id")
 
 
 def rating_cards(m: Model) -> DataFrame:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from reviewlytics.functions.clean import weight_label
 from reviewlytics.functions.numbers import exact_mean, round_half_up, scaled
+from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.matching import MatchLimits, match_seeds
 from reviewlytics.schema import Model
 
 
 def rating_with_names(m: Model) -> DataFrame:
     """Hotel, rating and feature rows joined on their keys."""
-    return m.rating.join(m.feature.select("feature_id", "feature_name"), "feature_id").join(
-        m.hotel.select("hotel_id", "hotel_name", "city", "country"), "hotel_id"
-    )
+    named = join_dimension(m.rating, m.feature.select("feature_id", "feature_name"), "feature_id")
+    return join_dimension(named, m.hotel.select("hotel_id", "hotel_name", "city", "country"), "hotel_id")
 
 
 def hotel_ratings(m: Model) -> DataFrame:
@@ -32,8 +32,7 @@ def rating_stats(m: Model) -> DataFrame:
     """Per hotel: exact mean score and the number of rated (existing) features."""
     known = m.feature.select("feature_id", F.lit(1).alias("_known"))
     return (
-        m.rating.select("hotel_id", "feature_id", "score")
-        .join(known, "feature_id", "left")
+        join_dimension(m.rating.select("hotel_id", "feature_id", "score"), known, "feature_id", "left")
         .groupBy("hotel_id")
         .agg(
             exact_mean(F.col("score"), 2).alias("mean_score"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlytics.operators.lineage import cut_lineage
 from reviewlytics.plans.aspects import ASPECTS
+from reviewlytics.plans.mining import by_hotel_rows, merge_files
 from reviewlytics.plans.sentiment import as_text
 from reviewlytics.schema import raw_schema
 from reviewlytics.sources.tables import write_csv
@@ -37,5 +39,11 @@ def write_seeds(
         write_csv(_seed_rows(by_hotel, SEED_BY_HOTEL_COLUMNS), by_hotel_path)
 
 
+def write_mined_seeds(by_file: DataFrame, path: str, by_hotel_path: str) -> None:
+    """Both seed files from one mining pass: ``mining.phrase_scores_by_file`` is stored first."""
+    stored = cut_lineage(by_file)
+    write_seeds(merge_files(stored), path, by_hotel_rows(stored), by_hotel_path)
+
+
 def _seed_rows(seeds: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return seeds.withColumn("weight", as_text(F.col("weight"))).select(*columns)

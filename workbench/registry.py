@@ -752,7 +752,7 @@ LOADED_REVIEW_SQL = f"""SELECT hotel_id, hotel_name, review_text, reviewer_name,
 
 
 def loaded_review_rows(review: DataFrame, hotel: DataFrame, *ids: str) -> DataFrame:
-    return review.join(hotel.select("hotel_id", "hotel_name"), "hotel_id").select(
+    return join_dimension(review, hotel.select("hotel_id", "hotel_name"), "hotel_id").select(
         *ids, "hotel_name", "review_text", "reviewer_name", day("review_date"),
         double("overall_rating"),
     )
@@ -1094,9 +1094,7 @@ def seed_terms(b: Binding) -> DataFrame:
 def write_seeds(b: Binding) -> DataFrame:
     root = scratch_folder(b.spark, "seeds")
     by_file = mining.phrase_scores_by_file(b.mined_reviews(), b.word_tables(), FILE_KEYS)
-    exports.write_seeds(
-        mining.merge_files(by_file), f"{root}/seeds", mining.by_hotel_rows(by_file), f"{root}/by_hotel"
-    )
+    exports.write_mined_seeds(by_file, f"{root}/seeds", f"{root}/by_hotel")
     merged = tables.read_csv(b.spark, f"{root}/seeds", exports.SEED_SCHEMA)
     by_hotel = tables.read_csv(b.spark, f"{root}/by_hotel", exports.SEED_BY_HOTEL_SCHEMA)
     blank = F.lit("")
