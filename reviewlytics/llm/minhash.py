@@ -9,8 +9,8 @@ Only connected groups are asked for, so no bucket is turned into all its pairs:
 
 * buckets of at most ``SMALL`` classes give all pairs, a constant number per class;
 * a larger bucket links its members to a few centres; where that leaves members outside the main
-  group of the bucket, such members meet the others in blocks, within a task; where they are many
-  the bucket is split again by a second band first, since unlike texts hardly share two;
+  group of the bucket, such members meet the others in blocks and are verified within the task;
+  where they are many the bucket is split by a second band first, since unlike texts hardly share two;
 * signatures, sets and texts are joined by merging at every size, so that small inputs run the plan
   of large ones;
 * of a class's surviving pairs the most promising is verified first, and others only where their
@@ -38,6 +38,7 @@ MISS = 1e-3
 SMALL = 8
 CENTRES = 3
 FEW = 64
+SHARE = 4096
 BATCH = 20
 _SEED = np.random.default_rng(9).integers(1, 1 << 63, (2, 1024), dtype=np.uint64)
 
@@ -273,10 +274,10 @@ def near_duplicates(
     links = verifier.links(candidates)
     groups = components(links, "a", "b")
     if not large.isEmpty():
-        rest = _rest(large, groups, reps, bands, _survive(n, threshold / 100, miss))
-        if not rest.isEmpty():
-            links = links.unionByName(verifier.links(rest))
-            groups = components(links, "a", "b")
+        open_ = _open_members(large, groups, reps, bands)
+        if not open_.isEmpty():
+            late = stored(_late_links(docs, open_, reps, width, n, threshold, miss), "links")
+            groups = components(links.unionByName(late), "a", "b")
     by_class = classes.select("print", "rep").join(
         groups.select(F.col("id").alias("rep"), "component_id"), "rep", "left"
     )
@@ -289,65 +290,99 @@ def near_duplicates(
     )
 
 
-def _rest(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: int, survive) -> DataFrame:
-    """Pairs of large buckets that centres left open and that survive pruning.
-
-    Members outside a bucket's main group are gathered in blocks of about ``FEW``, which meet every
-    member as one row, so the pairs exist in a task's memory only. Buckets with more such members
-    are split by a second band first.
-    """
+def _open_members(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: int) -> DataFrame:
+    """Members of large buckets that hold more than one group after the first round: key, rep, comp,
+    main (the bucket's main group), outside (members beside it), n. Buckets with many members
+    outside are split by a second band."""
     known = groups.select(F.col("id").alias("rep"), "component_id")
     placed = large.join(known, "rep", "left")
     placed = stored(placed.select("key", "rep", "n", F.coalesce("component_id", "rep").alias("comp")), "placed")
     counts = placed.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"))
     main = main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("outside"))
-    placed = placed.join(main.where("outside > 0"), "key").join(reps.hint("merge"), "rep")
-    placed = stored(placed.select("key", "rep", "comp", "main", "outside", "sig"), "placed")
-    finer = placed.where(F.col("outside") > FEW).mapInArrow(
-        _banded_twice(bands), "key bigint, rep bigint, comp bigint"
+    placed = placed.join(stored(main.where("outside > 0"), "main"), "key")
+    many = placed.where(F.col("outside") > FEW).join(reps.hint("merge"), "rep").select("key", "rep", "comp", "sig")
+    finer = stored(many.mapInArrow(_banded_twice(bands), "key bigint, rep bigint, comp bigint"), "finer")
+    mixed = finer.groupBy("key").agg(
+        F.min("comp").alias("main"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("n")
     )
-    finer = stored(finer, "finer")
-    mixed = finer.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("top"))
-    mixed = mixed.where("main != top").select("key", "main")
-    outside = finer.join(mixed, "key").where("comp != main").groupBy("key").agg(F.count(F.lit(1)).alias("outside"))
-    finer = finer.join(mixed.join(outside, "key"), "key").join(reps.hint("merge"), "rep")
-    every = placed.where(F.col("outside") <= FEW).unionByName(finer.select(*placed.columns))
-    every = stored(every, "open")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / FEW)).alias("block")
-    blocks = every.where("comp != main").groupBy("key", block)
-    blocks = blocks.agg(F.collect_list(F.struct("rep", "comp", "sig")).alias("others")).select("key", "others")
-    met = every.select("key", "rep", "comp", "sig").join(blocks, "key")
-    return stored(met.select("rep", "comp", "sig", "others").mapInArrow(survive, "a bigint, b bigint").distinct(), "rest")
-
-
-def _survive(n: int, threshold: float, miss: float):
-    """Pairs of each row's class and the classes beside it that belong to another group."""
-    least = least_matches(n, threshold, miss)
+    mixed = stored(mixed.where("main != top").drop("top"), "mixed")
+    finer = finer.join(mixed, "key")
+    outside = stored(
+        finer.where("comp != main").groupBy("key").agg(F.count(F.lit(1)).alias("outside")), "outside"
+    )
+    finer = finer.join(outside, "key").select("key", "rep", "comp", "main", "outside", "n")
+    return stored(placed.where(F.col("outside") <= FEW).select(*finer.columns).unionByName(finer), "open")
+
+
+def _late_links(docs: DataFrame, open_: DataFrame, reps: DataFrame, width: int, n: int, threshold: int, miss: float):
+    """Links between groups that still share a bucket. Members outside the main group, in blocks of
+    about ``FEW``, meet all members, in shares of about ``SHARE``; both are dealt to tasks by bucket,
+    block and share, so a task holds one block and lets members pass. Pairs are pruned and verified
+    there and then, and those of groups that a task has joined are skipped."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = texts.join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    texts = texts.dropDuplicates(["id"])
+    sets = stored(texts.mapInArrow(_sets(width), "id bigint, set binary"), "sets").withColumnRenamed("id", "rep")
+    blocks, shares = F.ceil(F.col("outside") / FEW), F.ceil(F.col("n") / SHARE)
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
+    own_block, own_share = F.pmod(F.xxhash64("rep"), blocks), F.pmod(F.xxhash64("rep", F.lit(1)), shares)
+    fixed = open_.where("comp != main").select(
+        "key", "rep", "comp", own_block.alias("block"), every(shares).alias("share"), F.lit(False).alias("passing")
+    )
+    passing = open_.select(
+        "key", "rep", "comp", every(blocks).alias("block"), own_share.alias("share"), F.lit(True).alias("passing")
+    )
+    rows = fixed.unionByName(passing).join(sets.hint("merge"), "rep").join(reps.hint("merge"), "rep")
+    rows = rows.select("key", "block", "share", "passing", "rep", "comp", "set", "sig")
+    rows = rows.repartition("key", "block", "share").sortWithinPartitions("key", "block", "share", "passing")
+    return rows.mapInArrow(_meet(n, threshold, miss), "a bigint, b bigint")
+
+
+def _meet(n: int, threshold: int, miss: float):
+    least = least_matches(n, threshold / 100, miss)
 
     def run(batches):
+        place, held, sig, up = None, [], None, {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = _matrix(batch.column("sig"))
-            rep, comp = batch.column("rep").to_numpy(), batch.column("comp").to_numpy()
-            others = batch.column("others")
-            sizes = np.diff(others.offsets.to_numpy())
-            flat = others.flatten()
-            theirs, their_rep, their_comp = _matrix(flat.field("sig")), flat.field("rep").to_numpy(), flat.field("comp").to_numpy()
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            out = []
-            for begin in range(0, len(row), 1 << 17):
-                at = np.arange(begin, min(begin + (1 << 17), len(row)))
-                at = at[(comp[row[at]] != their_comp[at]) & (rep[row[at]] != their_rep[at])]
-                equal = np.zeros(len(at), np.int64)
-                for k, m in enumerate(least):
-                    part = slice(k * BATCH, (k + 1) * BATCH)
-                    equal += (sig[row[at], part] == theirs[at, part]).sum(axis=1)
-                    keep = equal >= m
-                    at, equal = at[keep], equal[keep]
-                out.append(np.sort(np.stack([rep[row[at]], their_rep[at]]), axis=0))
-            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            found = []
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            where = list(zip(*(columns[c].to_pylist() for c in ("key", "block", "share"))))
+            passing, reps_, comps = (columns[c].to_pylist() for c in ("passing", "rep", "comp"))
+            mine = _matrix(columns["sig"]) if batch.num_rows else None
+            for k in range(batch.num_rows):
+                if where[k] != place:
+                    place, held, sig, up = where[k], [], None, {}
+                if not passing[k]:
+                    held.append((reps_[k], comps[k], columns["set"][k].as_buffer().to_pybytes(), mine[k]))
+                    continue
+                if sig is None:
+                    sig = np.stack([h[3] for h in held]) if held else np.zeros((0, n), np.uint32)
+                left = np.arange(len(held))
+                equal = np.zeros(len(held), np.int64)
+                for t, m in enumerate(least):
+                    part = slice(t * BATCH, (t + 1) * BATCH)
+                    equal[left] += (sig[left, part] == mine[k, part]).sum(axis=1)
+                    left = left[equal[left] >= m]
+                own = None
+                for j in left[np.argsort(-equal[left], kind="stable")].tolist():
+                    rep, comp, other, _ = held[j]
+                    if root(comp) == root(comps[k]):
+                        continue
+                    if own is None:
+                        own = np.frombuffer(columns["set"][k].as_buffer(), np.uint64)
+                    x = np.frombuffer(other, np.uint64)
+                    both = len(np.intersect1d(x, own, assume_unique=True))
+                    if 100 * both >= threshold * (len(x) + len(own) - both):
+                        up[root(comp)] = root(comps[k])
+                        found.append((min(rep, reps_[k]), max(rep, reps_[k])))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -74,6 +74,7 @@ def test_repeated_rows_stay(spark):
 def test_groups_against_brute_force(spark, monkeypatch, small, few):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "SHARE", 16 if few == 2 else minhash.SHARE)
     rows = [(1000 + k, text(k, 60)) for k in range(30)]
     rows += [(k, edited(text(5, 120), k)) for k in range(60)]  # a group of near copies, edits far apart
     rows += [(200 + k, text(900, 40) + " " + text(100 + k, 60)) for k in range(40)]  # a common passage
