@@ -303,7 +303,7 @@ def near_vectors(
     )
     # Stored first, so that the join reads plain shuffles on both sides and a hot cell can be split.
     sizes = stored(sizes, "sizes")
-    active = stored(placed.join(sizes, ["key", "t"]), "cells")
+    active = stored(placed.join(sizes.hint("merge"), ["key", "t"]), "cells")
     own = F.pmod(F.xxhash64("c", F.lit(1)), F.when(F.col("looks"), F.col("qt")).otherwise(F.col("rt")))
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("looks"), F.col("rt")).otherwise(F.col("qt")) - 1))
     tiles = active.select("key", "t", "c", "looks", own.alias("own"), other.alias("other"))

@@ -267,7 +267,7 @@ def near_duplicates(
     banded = reps.mapInArrow(_banded(bands), "key bigint, rep bigint")
     # Stored first, so that the join reads plain shuffles on both sides and a hot bucket can be split.
     sizes = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    members = stored(banded.join(sizes, "key"), "buckets")
+    members = stored(banded.join(sizes.hint("merge"), "key"), "buckets")
     verifier = _Verifier(docs, reps, width, n, threshold, miss)
     large = members.where(F.col("n") > SMALL)
     candidates = _all_pairs(members.where(F.col("n") <= SMALL)).union(_centre_pairs(large)).distinct()

@@ -302,7 +302,7 @@ def _found(keyed: DataFrame, length: int, gram: int):
     twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("gram")
     # Stored first, so that the join reads plain shuffles on both sides and a hot gram can be split.
     twice = stored(twice, "grams")
-    repeated = stored(every.join(twice, "gram"), "repeated")
+    repeated = stored(every.join(twice.hint("merge"), "gram"), "repeated")
     one = F.first(F.struct("doc_id", "h", "at", "span", "back")).alias("one")
     contexts = stored(repeated.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
