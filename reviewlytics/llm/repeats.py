@@ -14,20 +14,23 @@ first ``GRAM`` bytes occur twice. The consecutive strings with one anchor form i
   interval holds all its members, in which case it extends to the right.
 
 A repeat much longer than ``length`` appears as overlapping repeats around each of its anchors.
-Grams with more than ``HOT`` different contexts are not gathered in one task: there the strings
-themselves are counted by their hashes, which tells the same strings.
+Grams with more than ``HOT`` different contexts are not gathered in one task. For the removed bytes
+their strings are counted by hashes, which tells the same strings. For the groups the suffixes at
+which a repeat can begin are sorted and scanned in ranges with a common beginning; a range of more
+than ``HOT`` suffixes is split at the first byte in which they differ.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlytics.llm.common import chunks, mix64, powers, INVERSE, prefix_hashes, span_hashes, stored
+from reviewlytics.llm.common import chunks, mix64, powers, INVERSE, prefix_hashes, ranks, span_hashes, stored
 
 LENGTH = 200
 GRAM = 50
@@ -157,35 +160,33 @@ def group_repeats(right: np.ndarray, left: np.ndarray, length: int, nested: bool
 
     right, left: what follows the anchor and what precedes it backwards, one row each, as bytes + 1
     with 0 after the end. Without ``nested`` each member of an interval is given its longest left
-    part only. The padding of two rows is equal only where both end, so parts are cut at their ends.
+    part only. The padding of two rows is equal only where both end, so common parts are cut at the
+    ends before intervals are formed, and a longer context that goes on there is a member too.
     """
     ahead, behind = (right > 0).sum(axis=1), (left > 0).sum(axis=1)
     order = np.lexsort(right.T[::-1]) if len(right) > 2 else np.arange(len(right))
-    common = _common(right[order]).tolist()
+    common = np.minimum(_common(right[order]), ahead[order[:-1]]).tolist()
     if len(right) == 2:
-        l = min(common[0], int(ahead[0]))
+        l = common[0]
         e = min(int(_common(left)[0]), int(behind[0]))
         if e + l >= length:
             yield l, e, order
         return
     for l, first, last, children in intervals(common):
-        l = min(l, int(ahead[order[first]]))
         if l + left.shape[1] < length:
             continue
         members = order[first : last + 1]
         child = np.searchsorted(children, np.arange(first, last + 1), side="right")
         by_left = np.lexsort(left[members].T[::-1])
-        shared = _common(left[members[by_left]])
+        shared = np.minimum(_common(left[members[by_left]]), behind[members[by_left[:-1]]])
         if not nested:
             best = np.zeros(len(members), np.int64)
             best[:-1] = shared
             best[1:] = np.maximum(best[1:], shared)
-            best = np.minimum(best, behind[members[by_left]])
             for e in np.unique(best[best + l >= length]).tolist():
                 yield l, e, members[by_left[best == e]]
             continue
         for e, a, b, _ in intervals(shared.tolist()):
-            e = min(e, int(behind[members[by_left[a]]]))
             if e + l < length:
                 continue
             inside = by_left[a : b + 1]
@@ -206,18 +207,18 @@ def _matrices(texts: list[bytes], back: np.ndarray, length: int, gram: int):
     return right, left
 
 
-def _sorted_groups(batches, columns):
-    """Complete groups of equal ``gram`` from batches sorted by it."""
+def _sorted_groups(batches, key: str):
+    """Complete groups of equal ``key`` from batches sorted by it."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        grams = batch.column("gram").to_numpy()
+        grams = batch.column(key).to_numpy()
         if grams[0] == grams[-1] and len(held) > 1:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
-        grams = whole.column("gram").to_numpy()
+        grams = whole.column(key).to_numpy()
         cut = int(np.searchsorted(grams, grams[-1], side="left"))
         if cut:
             yield whole.slice(0, cut)
@@ -228,7 +229,8 @@ def _sorted_groups(batches, columns):
 
 def _tree(length: int, gram: int, nested: bool):
     def run(batches):
-        for whole in _sorted_groups(batches, None):
+        for whole in _sorted_groups(batches, "gram"):
+            often = whole.column("n").to_numpy() > 1
             back = whole.column("back").to_numpy()
             grams = whole.column("gram").to_numpy()
             texts = whole.column("bytes").to_pylist()
@@ -237,9 +239,13 @@ def _tree(length: int, gram: int, nested: bool):
             number = 0
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 right, left = _matrices(texts[a:b], back[a:b], length, gram)
+                row = np.arange(b - a)
+                if nested:  # A context that occurs again is a repeat of its own.
+                    row = np.repeat(row, np.where(often[a:b], 2, 1))
+                    right, left = right[row], left[row]
                 for l, e, members in group_repeats(right, left, length, nested):
                     number += 1
-                    for k in members.tolist():
+                    for k in np.unique(row[members]).tolist():
                         group.append(number)
                         member.append(a + k)
                         begin.append(-e)
@@ -289,15 +295,119 @@ def _strings(length: int):
     return run
 
 
+def _windows(length: int):
+    """One row per string of a context: its hash, its place and the byte before it (+ 1; 0 where the
+    context begins)."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                data = np.frombuffer(b"".join(part.column("bytes").to_pylist()), np.uint8)
+                span = part.column("span").to_numpy().astype(np.int64)
+                offsets = np.cumsum(span + length) - span - length
+                prefix = prefix_hashes(data)
+                row = np.repeat(np.arange(len(span)), span + 1)
+                shift = ranks(span + 1)
+                begin = offsets[row] + shift
+                key = span_hashes(prefix, begin, begin + length)
+                before = np.where(shift > 0, data[begin - 1].astype(np.int32) + 1, 0)
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": pa.array(key.view(np.int64)),
+                        "gram": part.column("gram").take(rows),
+                        "ctx": part.column("ctx").take(rows),
+                        "n": part.column("n").take(rows),
+                        "shift": pa.array(shift.astype(np.int32)),
+                        "e": pa.array((part.column("back").to_numpy()[row] - shift).astype(np.int32)),
+                        "before": pa.array(before.astype(np.int32)),
+                    }
+                )
+
+    return run
+
+
+WINDOWS = "key bigint, gram bigint, ctx bigint, n bigint, shift int, e int, before int"
+GROUPS = "gram bigint, ctx bigint, number bigint, from_anchor int, size int"
+
+
+def _number(string: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+
+
+def _branches(length: int):
+    """Of classes of suffixes: where they branch, and the number of their common string if it is a
+    repeat that ends on the left."""
+
+    def run(batches):
+        for batch in batches:
+            branch, number = [], []
+            columns = [batch.column(c).to_pylist() for c in ("low", "high", "least", "most")]
+            for low, high, least, most in zip(*columns):
+                l = len(os.path.commonprefix([low, high]))
+                branch.append(l)
+                number.append(_number(low[:l]) if l >= length and (least == 0 or least != most) else None)
+            out = {c: batch.column(c) for c in ("e", "prefix")}
+            out |= {"branch": pa.array(branch, pa.int32()), "number": pa.array(number, pa.int64())}
+            yield pa.RecordBatch.from_pydict(out)
+
+    return run
+
+
+def _scan(length: int):
+    """Repeats among whole classes of suffixes with a common beginning: a scan of their sorted order."""
+
+    def run(batches):
+        for whole in _sorted_groups(batches, "key"):
+            keys, often = whole.column("key").to_numpy(), whole.column("n").to_numpy() > 1
+            before = whole.column("before").to_numpy()
+            tails = whole.column("tail").to_pylist()
+            cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+            member, number, size = [], [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                order = np.array(sorted(range(a, b), key=tails.__getitem__))
+                order = np.repeat(order, np.where(often[order], 2, 1))
+                if len(order) < 2:
+                    continue
+                ends = np.array([len(tails[k]) for k in order.tolist()])
+                rows = np.zeros((len(order), int(ends.max())), np.uint8)
+                for k, own in enumerate(order.tolist()):
+                    rows[k, : ends[k]] = np.frombuffer(tails[own], np.uint8) + np.uint8(1)
+                for l, first, last, _ in intervals(np.minimum(_common(rows), ends[:-1]).tolist()):
+                    inside = order[first : last + 1]
+                    least = before[inside].min()
+                    if l < length or (least != 0 and least == before[inside].max()):
+                        continue
+                    inside = np.unique(inside)
+                    member.append(inside)
+                    number += [_number(tails[inside[0]][:l])] * len(inside)
+                    size += [l] * len(inside)
+            rows = pa.array(np.concatenate(member) if member else np.zeros(0, np.int64))
+            part = whole.select(["gram", "ctx", "e"]).take(rows).combine_chunks()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "gram": part.column("gram").combine_chunks(),
+                    "ctx": part.column("ctx").combine_chunks(),
+                    "number": pa.array(number, pa.int64()),
+                    "from_anchor": pa.array(-part.column("e").to_numpy(), pa.int32()),
+                    "size": pa.array(size, pa.int32()),
+                }
+            )
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("h", F.xxhash64("text"))
 
 
-def _found(keyed: DataFrame, length: int, gram: int):
+def _found(keyed: DataFrame, length: int, gram: int, once: bool = True):
     """Anchors of repeated grams with the number of their context's occurrences, and the contents
-    of one occurrence per context where a gram has contexts that occur once."""
+    of one occurrence per context where a gram has several contexts; with ``once`` only if one of
+    them occurs once, which is enough for the covered bytes."""
     every = stored(keyed.where(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), ANCHORS), "anchors")
     twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("gram")
     # Stored first, so that the join reads plain shuffles on both sides and a hot gram can be split.
@@ -306,7 +416,7 @@ def _found(keyed: DataFrame, length: int, gram: int):
     one = F.first(F.struct("doc_id", "h", "at", "span", "back")).alias("one")
     contexts = stored(repeated.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
-    open_ = open_.where("different > 1 AND least = 1").select("gram", "different")
+    open_ = open_.where("different > 1 AND least = 1" if once else "different > 1").select("gram", "different")
     fetch = contexts.join(open_, "gram").select("gram", "ctx", "n", "one.*", "different")
     per_doc = fetch.groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("at", "span", "back", "gram", "ctx", "n")).alias("wanted")
@@ -329,18 +439,66 @@ def _tree_rows(contents: DataFrame, length: int, gram: int, nested: bool) -> Dat
     return usual.mapInArrow(_tree(length, gram, nested), TREE)
 
 
+def _hot_groups(hot: DataFrame, length: int) -> DataFrame:
+    """The repeats among contexts of grams beyond ``HOT``, as GROUPS.
+
+    A repeat begins with a string of ``length`` bytes that has different bytes before it, or the
+    start of a context. What follows such strings to the ends of their contexts, the suffixes, is
+    put into classes by a common beginning: small classes are sorted and scanned in a task, the
+    common string of a large one is found from its least and greatest suffix, and the class is
+    split by the byte that follows.
+    """
+    windows = stored(hot.mapInArrow(_windows(length), WINDOWS), "windows")
+    starts = windows.groupBy("key").agg(
+        F.sum("n").alias("all"), F.min("before").alias("least"), F.max("before").alias("most")
+    )
+    starts = stored(starts.where("all > 1 AND (least = 0 OR least < most)").select("key"), "starts")
+    texts = hot.select("gram", "ctx", "bytes")
+    rows = windows.join(starts.hint("merge"), "key").join(texts.hint("merge"), ["gram", "ctx"])
+    rows = rows.select("gram", "ctx", "n", "e", "before", F.expr("substring(bytes, shift + 1)").alias("tail"))
+    rows = stored(rows.withColumn("prefix", F.expr(f"substring(tail, 1, {length})")), "suffixes")
+    found = None
+    while True:
+        classes = rows.groupBy("e", "prefix").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("tail").alias("low"), F.max("tail").alias("high"),
+            F.min("before").alias("least"), F.max("before").alias("most"),
+        )
+        classes = classes.where(F.col("rows") > HOT).drop("rows")
+        large = stored(classes.mapInArrow(_branches(length), "e int, prefix binary, branch int, number bigint"), "large")
+        # At most one row per HOT suffixes.
+        small = rows.join(F.broadcast(large.select("e", "prefix")), ["e", "prefix"], "left_anti")
+        small = small.select(F.xxhash64("e", "prefix").alias("key"), "gram", "ctx", "n", "e", "before", "tail")
+        small = small.repartition("key").sortWithinPartitions("key").mapInArrow(_scan(length), GROUPS)
+        found = small if found is None else found.unionByName(small)
+        if large.isEmpty():
+            return found
+        split = rows.join(F.broadcast(large), ["e", "prefix"])
+        common = split.where("number is not null").select(
+            "gram", "ctx", "number", (-F.col("e")).alias("from_anchor"), F.col("branch").alias("size")
+        )
+        found = found.unionByName(common)
+        # Suffixes that end where the class branches are in no smaller class.
+        split = split.where(F.octet_length("tail") > F.col("branch"))
+        split = split.withColumn("prefix", F.expr("substring(tail, 1, branch + 1)"))
+        rows = stored(split.select(*rows.columns), "suffixes")
+
+
 def repeat_groups(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Maximal repeats of at least ``length`` bytes around each anchor with all their occurrences:
     repeat (an id), n_bytes, doc_id, start. Documents as in ``remove_repeats``; equal rows of one
     document are separate occurrences with equal places."""
-    repeated, contexts, contents = _found(_keyed(docs), length, gram)
-    whole = repeated.join(contexts.where("n > 1").select("gram", "ctx"), ["gram", "ctx"])
+    repeated, contexts, contents = _found(_keyed(docs), length, gram, once=False)
+    alone = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("ctx").alias("ctx"))
+    whole = repeated.join(alone.where("different = 1").select("gram", "ctx"), ["gram", "ctx"])
     whole = whole.select(
         F.xxhash64("gram", "ctx").alias("repeat"), (F.col("span") + length).alias("n_bytes"), "doc_id",
         F.col("at").alias("start"),
     )
-    contents = contents.dropDuplicates(["gram", "ctx"])
+    contents = stored(contents.dropDuplicates(["gram", "ctx"]), "contents")
     tree = _tree_rows(contents, length, gram, True).select("gram", "ctx", "number", "from_anchor", "size")
+    hot = contents.where(F.col("different") > HOT)
+    if not hot.isEmpty():
+        tree = tree.unionByName(_hot_groups(hot, length))
     places = repeated.select("gram", "ctx", "doc_id", (F.col("at") + F.col("back")).alias("anchor"))
     mixed = tree.join(places, ["gram", "ctx"]).select(
         F.xxhash64("gram", "number", "from_anchor", "size").alias("repeat"), F.col("size").alias("n_bytes"), "doc_id",
