@@ -13,6 +13,9 @@ first ``GRAM`` bytes occur twice. The consecutive strings with one anchor form i
   of a repeat of e + l bytes. It counts from ``length`` bytes on, and unless one child of the
   interval holds all its members, in which case it extends to the right.
 
+``remove_repeats`` needs the covered bytes only: it scans the tree for the longest left part of each
+member, without the tests for maximal groups, which ``repeat_groups`` makes.
+
 A repeat much longer than ``length`` appears as overlapping repeats around each of its anchors.
 Grams with more than ``HOT`` different contexts are not gathered in one task. For the removed bytes
 their strings are counted by hashes, which tells the same strings. For the groups the suffixes at
