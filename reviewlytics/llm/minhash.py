@@ -9,8 +9,8 @@ Only connected groups are asked for, so no bucket is turned into all its pairs:
 
 * buckets of at most ``SMALL`` classes give all pairs, a constant number per class;
 * a larger bucket links its members to a few centres; where that leaves members outside the main
-  group of the bucket, such members meet the others in blocks and are verified within the task;
-  where they are many the bucket is split by a second band first, since unlike texts hardly share two;
+  group of the bucket, such members meet all others in blocks and are verified within the task,
+  however many they are;
 * signatures, sets and texts are joined by merging at every size, so that small inputs run the plan
   of large ones;
 * of a class's surviving pairs the most promising is verified first, and others only where their
@@ -38,6 +38,8 @@ MISS = 1e-3
 SMALL = 8
 CENTRES = 3
 FEW = 64
+#: A task holds about HELD * FEW members of a bucket while others pass.
+HELD = 16
 SHARE = 4096
 BATCH = 20
 _SEED = np.random.default_rng(9).integers(1, 1 << 63, (2, 1024), dtype=np.uint64)
@@ -111,25 +113,6 @@ def _banded(bands: int):
     return run
 
 
-def _banded_twice(bands: int):
-    """Each bucket of a class, split by every other band of it."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                keys = band_keys(_matrix(batch.column("sig")), bands)
-                own = batch.column("key").to_numpy()
-                both = mix64(keys.astype(np.uint64) + mix64(own.astype(np.uint64))[:, None]).astype(np.int64)
-                other = keys != own[:, None]
-                rep = np.broadcast_to(batch.column("rep").to_numpy()[:, None], keys.shape)[other]
-                comp = np.broadcast_to(batch.column("comp").to_numpy()[:, None], keys.shape)[other]
-                yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array(both[other]), "rep": pa.array(rep), "comp": pa.array(comp)}
-                )
-
-    return run
-
-
 def least_matches(n: int, threshold: float, miss: float) -> list[int]:
     """Per batch end: the least number of equal minima at which, from a uniform prior, similarity
     >= threshold still has a posterior probability of miss / batches or more."""
@@ -274,7 +257,7 @@ def near_duplicates(
     links = verifier.links(candidates)
     groups = components(links, "a", "b")
     if not large.isEmpty():
-        open_ = _open_members(large, groups, reps, bands)
+        open_ = _open_members(large, groups)
         if not open_.isEmpty():
             late = stored(_late_links(docs, open_, reps, width, n, threshold, miss), "links")
             groups = components(links.unionByName(late), "a", "b")
@@ -290,10 +273,9 @@ def near_duplicates(
     )
 
 
-def _open_members(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: int) -> DataFrame:
+def _open_members(large: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of large buckets that hold more than one group after the first round: key, rep, comp,
-    main (the bucket's main group), outside (members beside it), n. Buckets with many members
-    outside are split by a second band."""
+    main (the bucket's main group), outside (members beside it), n."""
     known = groups.select(F.col("id").alias("rep"), "component_id")
     placed = large.join(known, "rep", "left")
     placed = stored(placed.select("key", "rep", "n", F.coalesce("component_id", "rep").alias("comp")), "placed")
@@ -301,30 +283,19 @@ def _open_members(large: DataFrame, groups: DataFrame, reps: DataFrame, bands: i
     main = counts.groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"))
     main = main.select("key", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.m")).alias("outside"))
     placed = placed.join(stored(main.where("outside > 0"), "main"), "key")
-    many = placed.where(F.col("outside") > FEW).join(reps.hint("merge"), "rep").select("key", "rep", "comp", "sig")
-    finer = stored(many.mapInArrow(_banded_twice(bands), "key bigint, rep bigint, comp bigint"), "finer")
-    mixed = finer.groupBy("key").agg(
-        F.min("comp").alias("main"), F.max("comp").alias("top"), F.count(F.lit(1)).alias("n")
-    )
-    mixed = stored(mixed.where("main != top").drop("top"), "mixed")
-    finer = finer.join(mixed, "key")
-    outside = stored(
-        finer.where("comp != main").groupBy("key").agg(F.count(F.lit(1)).alias("outside")), "outside"
-    )
-    finer = finer.join(outside, "key").select("key", "rep", "comp", "main", "outside", "n")
-    return stored(placed.where(F.col("outside") <= FEW).select(*finer.columns).unionByName(finer), "open")
+    return stored(placed.select("key", "rep", "comp", "main", "outside", "n"), "open")
 
 
 def _late_links(docs: DataFrame, open_: DataFrame, reps: DataFrame, width: int, n: int, threshold: int, miss: float):
     """Links between groups that still share a bucket. Members outside the main group, in blocks of
-    about ``FEW``, meet all members, in shares of about ``SHARE``; both are dealt to tasks by bucket,
+    about ``HELD * FEW``, meet all members, in shares of about ``SHARE``; both are dealt to tasks by bucket,
     block and share, so a task holds one block and lets members pass. Pairs are pruned and verified
     there and then, and those of groups that a task has joined are skipped."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     texts = texts.join(open_.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     texts = texts.dropDuplicates(["id"])
     sets = stored(texts.mapInArrow(_sets(width), "id bigint, set binary"), "sets").withColumnRenamed("id", "rep")
-    blocks, shares = F.ceil(F.col("outside") / FEW), F.ceil(F.col("n") / SHARE)
+    blocks, shares = F.ceil(F.col("outside") / (HELD * FEW)), F.ceil(F.col("n") / SHARE)
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
     own_block, own_share = F.pmod(F.xxhash64("rep"), blocks), F.pmod(F.xxhash64("rep", F.lit(1)), shares)
     fixed = open_.where("comp != main").select(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 
 from reviewlytics.llm import minhash
@@ -46,6 +47,12 @@ def edited(base, k):
     return " ".join(words)
 
 
+def sets_of(texts):
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return minhash.row_sets(data, np.cumsum([0, *map(len, raw)]), minhash.WIDTH)
+
+
 def test_edges(spark):
     rows = [
         (1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE  two"), (6, "one two three"),
@@ -83,6 +90,49 @@ def test_groups_against_brute_force(spark, monkeypatch, small, few):
     assert found(minhash.near_duplicates(docs)) == brute(rows, minhash.WIDTH)
 
 
+def test_a_pair_with_one_band_in_common_meets_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "FEW", 2)
+    n, keys = minhash.BANDS * minhash.ROWS, {}
+    base = text(5, 60)
+    one = minhash.signatures(sets_of([base]), n)
+    for k in range(4000):
+        # A near copy that shares one band with the base: edits of several words in turn.
+        words = base.split()
+        for t in range(4):
+            words[(k * 7 + t * (k % 11 + 1)) % len(words)] = f"x{k}y{t}"
+        keys[k] = " ".join(words)
+    sets = sets_of(list(keys.values()))
+    sig = minhash.signatures(sets, n)
+    same = minhash.band_keys(sig, minhash.BANDS) == minhash.band_keys(one, minhash.BANDS)
+    first = sets_of([base])[0]
+    share = np.array([len(np.intersect1d(first, x)) / len(np.union1d(first, x)) for x in sets])
+    least = minhash.least_matches(n, 0.5, minhash.MISS)
+    steps = np.cumsum((sig == one).reshape(len(sig), -1, minhash.BATCH).sum(axis=2), axis=1)
+    fit = np.flatnonzero((same.sum(axis=1) == 1) & (share >= 0.5) & (steps >= least).all(axis=1))
+    assert len(fit)
+    near = int(fit[0])
+    band = int(same[near].argmax())
+    pair = [(0, base), (1, keys[near])]
+    # Unlike members of that bucket: rows with its minima and others of their own.
+    reps, rows = [(d, x) for d, x in pair], []
+    key = int(minhash.band_keys(one, minhash.BANDS)[0, band])
+    signed = {0: one[0], 1: sig[near]}
+    for d in range(2, 40):
+        reps.append((d, text(100 + d, 60)))
+        signed[d] = minhash.signatures(sets_of([text(100 + d, 60)]), n)[0]
+        signed[d][band * minhash.ROWS : (band + 1) * minhash.ROWS] = one[0][band * minhash.ROWS : (band + 1) * minhash.ROWS]
+    for d in range(40):
+        rows.append((key, d, 40))
+    large = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint")
+    groups = spark.createDataFrame([], "id bigint, component_id bigint")
+    table = spark.createDataFrame([(d, bytearray(x.tobytes())) for d, x in signed.items()], "rep bigint, sig binary")
+    docs = spark.createDataFrame(reps, "doc_id bigint, text string")
+    open_ = minhash._open_members(large, groups)
+    late = minhash._late_links(docs, open_, table, minhash.WIDTH, n, 50, minhash.MISS)
+    assert {(r["a"], r["b"]) for r in late.collect()} == {(0, 1)}
+
+
 def test_pruning_bound():
     least = minhash.least_matches(120, 0.8, 1e-3)
     assert len(least) == 6 and all(0 < m < k for m, k in zip(least, range(20, 121, 20)))
