@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, licenses, minhash, packing, quality, repeats, tiling, tokenfile, toxicity
+from reviewlytics.llm import language, lattice, licenses, minhash, negatives, packing, quality, repeats, runs, tiling, tokenfile, toxicity
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -58,6 +58,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_stutter(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -69,6 +77,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_four_russians_negatives": op12_four_russians_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 #: The results of the others cannot be stated in SQL (vocabularies, learned models, tilings) or only
 #: too slowly on whole tables (byte strings, all pairs of vectors); tests/llm holds them against
@@ -97,4 +107,24 @@ ORACLE_SQL: dict[str, str] = {
         least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
         FROM least LEFT JOIN size USING (doc_id)""",
+    "op12_four_russians_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same,
+                   CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score
+            FROM v AS a JOIN v AS c ON a.vec_id <> c.vec_id AND len(a.q) = len(c.q) WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+               other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5""",
 }
