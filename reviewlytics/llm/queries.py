@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlytics.llm import language, lattice, licenses, minhash, negatives, packing, quality, repeats, runs, tiling, tokenfile, toxicity
+from reviewlytics.llm import language, lattice, licenses, minhash, negatives, packing, quality, repeats, runs, tiling, tokenfile, toxicity, urls
 from reviewlytics.llm.common import table
 from reviewlytics.operators.lineage import scratch_folder
 
@@ -58,6 +58,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op12_four_russians_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_boosted_url_filter": op11_boosted_url_filter,
     "op12_four_russians_negatives": op12_four_russians_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
