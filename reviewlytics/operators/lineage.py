@@ -36,3 +36,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, written once and read back."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored intermediate tables that nothing needs once the block has ended."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder = spark, scratch_folder(spark, "scratch")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once and read back."""
+        path = f"{self._folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ copies of one row makes one line and no hot group.
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import NamedTuple
 
@@ -48,10 +49,6 @@ def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest], "_rows")
 
 
-def _key_text(keys: list[str]) -> Column:
-    return F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key")
-
-
 def _key_values(keys: list[str]) -> Column:
     """The key's columns as an array: no separator that a value may hold, nulls stay nulls."""
     return F.array(*[F.col(k).cast("string") for k in keys]).alias("key")
@@ -85,6 +82,13 @@ def _dedupe(new: DataFrame, existing: DataFrame, keys: list[str]):
     return free.select(*new.columns), rejected
 
 
+def _as_rows_of(table: DataFrame, rows: DataFrame, day: Column | None = None) -> DataFrame:
+    """``rows`` in the columns of ``table``, dated if the table says when a row was stored."""
+    if "created_date" in table.columns and "created_date" not in rows.columns:
+        rows = rows.withColumn("created_date", F.current_date() if day is None else day)
+    return rows.select(*table.columns)
+
+
 def append_features(m: Model, new: DataFrame) -> Appended:
     """Add features (feature_name, description); a name already present is rejected."""
     described = "description" in new.columns
@@ -94,7 +98,7 @@ def append_features(m: Model, new: DataFrame) -> Appended:
     named = rows.filter(F.col("feature_name").isNotNull())
     fresh, rejected = _dedupe(named, m.feature, ["feature_name"])
     numbered = assign_ids(fresh, "feature_id", ["feature_name"], last_id(m.feature, "feature_id"))
-    accepted = numbered.withColumn("is_active", F.lit("Y")).select(*m.feature.columns)
+    accepted = _as_rows_of(m.feature, numbered.withColumn("is_active", F.lit("Y")))
     missing = _rejected(unnamed, ["feature_name"], "missing name", F.lit(1))
     return Appended(m.feature.unionByName(accepted), accepted, rejected.unionByName(missing))
 
@@ -112,9 +116,8 @@ def append_seeds(m: Model, new: DataFrame) -> Appended:
         "feature_id", "seed_phrase", F.col("weight").cast(WEIGHT_TYPE).alias("weight"), "feature_name"
     )
     fresh, duplicates = _dedupe(usable.drop("feature_name"), m.seed, ["feature_id", "seed_phrase"])
-    accepted = assign_ids(
-        fresh, "seed_id", ["feature_id", "seed_phrase"], last_id(m.seed, "seed_id")
-    ).select(*m.seed.columns)
+    numbered = assign_ids(fresh, "seed_id", ["feature_id", "seed_phrase"], last_id(m.seed, "seed_id"))
+    accepted = _as_rows_of(m.seed, numbered)
     one = F.lit(1)
     rejected = (
         duplicates.unionByName(_rejected(located.filter(unknown), keys, "unknown feature", one))
@@ -149,7 +152,7 @@ def append_reviews(m: Model, new: DataFrame, today: datetime.date | None = None)
         F.col("overall_rating").cast(RATING_TYPE).alias("overall_rating"),
     )
     numbered = unique_ids(good, "review_id", last_id(m.review, "review_id"))
-    accepted = numbered.select(*m.review.columns)
+    accepted = _as_rows_of(m.review, numbered, day)
     rejected = (
         located.filter(F.col("_reason").isNotNull())
         .groupBy(_key_values(["hotel_name"]), F.col("_reason").alias("reason"))
@@ -170,15 +173,14 @@ def append_hotels_with_review(
     fresh, duplicates = _dedupe(usable, m.hotel, ["hotel_name", "city"])
     numbered = assign_ids(fresh, "hotel_id", ["hotel_name", "city"], last_id(m.hotel, "hotel_id"))
     star = F.col("star_rating").cast(RATING_TYPE)
-    hotels = numbered.withColumn("star_rating", star).select(*m.hotel.columns)
     day = F.lit(today) if today else F.current_date()
+    hotels = _as_rows_of(m.hotel, numbered.withColumn("star_rating", star), day)
     first = numbered.filter(empty_to_null(F.col("review_text")).isNotNull()).select(
         "hotel_id", "review_text", "reviewer_name", day.alias("review_date"),
         F.lit(None).cast(RATING_TYPE).alias("overall_rating"),
     )
-    reviews = assign_ids(
-        first, "review_id", ["hotel_id"], last_id(m.review, "review_id")
-    ).select(*m.review.columns)
+    numbered = assign_ids(first, "review_id", ["hotel_id"], last_id(m.review, "review_id"))
+    reviews = _as_rows_of(m.review, numbered, day)
     keys, one = ["hotel_name", "city"], F.lit(1)
     rejected = duplicates.unionByName(
         _rejected(new.filter(missing), keys, "missing name", one)
@@ -188,40 +190,49 @@ def append_hotels_with_review(
     )
 
 
-def _row_violations(table: str, df: DataFrame, keys: list[str], rules: dict[str, Column]):
-    """Rows that break a rule, for all rules of a table in one scan."""
-    broken = F.array_compact(F.array(*[F.when(bad, rule) for rule, bad in rules.items()]))
-    return (
-        df.select(_key_text(keys), F.explode(broken).alias("rule"))
-        .groupBy("rule", "key")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(table).alias("table"), "rule", "key", "rows")
-    )
+# What a row of a check is: a broken row, a key that may occur once, a reference, or what it refers to.
+_BROKEN, _UNIQUE, _REFERENCE, _REFERRED = "broken", "unique", "reference", "referred"
 
 
-def _repeated(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Keys held by more than one row; a key without any value is none."""
-    has_value = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
-    repeated = (
-        df.filter(has_value).groupBy(*columns).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    )
-    rule = F.lit(f"{', '.join(columns)} unique").alias("rule")
-    return repeated.select(F.lit(table).alias("table"), rule, _key_text(columns), "rows")
+@dataclass(frozen=True)
+class _Rules:
+    """The constraints of a table: key columns that name a broken row, rules with the condition that breaks
+    them, unique keys, and references (column -> table that holds it)."""
 
+    named_by: list[str]
+    broken: dict[str, Column]
+    unique: list[list[str]]
+    references: dict[str, str] = field(default_factory=dict)
 
-def _orphans(table: str, df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """References to no parent, counted per key before the join: one parent may have a large
-    share of the children."""
-    per_key = (
-        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    )
-    lost = per_key.join(parent.select(column), column, "left_anti")
-    rule = F.lit(f"{column} exists").alias("rule")
-    return lost.select(F.lit(table).alias("table"), rule, _key_text([column]), "rows")
+
+def _checks(table: str, df: DataFrame, rules: dict[str, _Rules]) -> DataFrame:
+    """table, rule, key, kind for everything that a row has to do with, in one scan."""
+    own = rules[table]
+
+    def check(of: str, rule: str, keys: list[str], kind: str, when: Column) -> Column:
+        values = [F.lit(of).alias("table"), F.lit(rule).alias("rule"), _key_values(keys), F.lit(kind).alias("kind")]
+        return F.when(when, F.struct(*values))
+
+    found = [check(table, rule, own.named_by, _BROKEN, bad) for rule, bad in own.broken.items()]
+    for keys in own.unique:  # A key without any value is none.
+        has_value = F.coalesce(*[F.col(k).cast("string") for k in keys]).isNotNull()
+        found.append(check(table, f"{', '.join(keys)} unique", keys, _UNIQUE, has_value))
+    for column in own.references:
+        found.append(check(table, f"{column} exists", [column], _REFERENCE, F.col(column).isNotNull()))
+    for child, theirs in rules.items():
+        for column, parent in theirs.references.items():
+            if parent == table:
+                found.append(check(child, f"{column} exists", [column], _REFERRED, F.col(column).isNotNull()))
+    return df.select(F.inline(F.array_compact(F.array(*found))))
 
 
 def validate(m: Model) -> DataFrame:
-    """Violations of the table constraints: table, rule, key, rows. Empty if all hold."""
+    """Violations of the table constraints: table, rule, key, rows. Empty if all hold.
+
+    Every table is scanned once: a row reports the rules it breaks, its unique keys, its references and what
+    others may refer to; all of that is counted by rule and key in one aggregation, which combines
+    references to one parent before they are shuffled.
+    """
 
     def missing(*columns: str) -> dict[str, Column]:
         # An empty text counts as none, as it does for appended rows.
@@ -233,37 +244,42 @@ def validate(m: Model) -> DataFrame:
 
     stars = out_of_range("star_rating") if "star_rating" in m.hotel.columns else {}
     flag = {"is_active in Y, N": ~F.col("is_active").isin(*ACTIVE_FLAGS)}
-    found = [
-        _row_violations("hotel", m.hotel, ["hotel_id"], missing("hotel_id", "hotel_name") | stars),
-        _repeated("hotel", m.hotel, ["hotel_id"]),
-        _repeated("hotel", m.hotel, ["hotel_name", "city"]),
-        _row_violations(
-            "feature", m.feature, ["feature_id"], missing("feature_id", "feature_name") | flag
+    rules = {
+        "hotel": _Rules(
+            ["hotel_id"], missing("hotel_id", "hotel_name") | stars, [["hotel_id"], ["hotel_name", "city"]]
+        ),
+        "feature": _Rules(
+            ["feature_id"], missing("feature_id", "feature_name") | flag, [["feature_id"], ["feature_name"]]
         ),
-        _repeated("feature", m.feature, ["feature_id"]),
-        _repeated("feature", m.feature, ["feature_name"]),
-        _row_violations(
-            "seed", m.seed, ["seed_id"], missing("seed_id", "feature_id", "seed_phrase", "weight")
+        "seed": _Rules(
+            ["seed_id"], missing("seed_id", "feature_id", "seed_phrase", "weight"),
+            [["seed_id"], ["feature_id", "seed_phrase"]], {"feature_id": "feature"},
         ),
-        _repeated("seed", m.seed, ["seed_id"]),
-        _repeated("seed", m.seed, ["feature_id", "seed_phrase"]),
-        _orphans("seed", m.seed, "feature_id", m.feature),
-        _row_violations(
-            "review", m.review, ["review_id"],
-            missing("review_id", "hotel_id", "review_text") | out_of_range("overall_rating"),
+        "review": _Rules(
+            ["review_id"], missing("review_id", "hotel_id", "review_text") | out_of_range("overall_rating"),
+            [["review_id"]], {"hotel_id": "hotel"},
         ),
-        _repeated("review", m.review, ["review_id"]),
-        _orphans("review", m.review, "hotel_id", m.hotel),
-    ]
+    }
     if m.rating is not None:
         pair = ["hotel_id", "feature_id"]
-        found += [
-            _row_violations("rating", m.rating, pair, missing(*pair, "score")),
-            _repeated("rating", m.rating, pair),
-            _orphans("rating", m.rating, "hotel_id", m.hotel),
-            _orphans("rating", m.rating, "feature_id", m.feature),
-        ]
-    return reduce(DataFrame.unionByName, found)
+        numbered = ["rating_id"] if "rating_id" in m.rating.columns else []
+        rules["rating"] = _Rules(
+            pair, missing(*numbered, *pair, "score"), [pair, *[[c] for c in numbered]],
+            {"hotel_id": "hotel", "feature_id": "feature"},
+        )
+    checks = reduce(DataFrame.unionByName, [_checks(name, getattr(m, name), rules) for name in rules])
+    # References and what they refer to meet under one rule and key.
+    kind = F.when(F.col("kind") == _REFERRED, _REFERENCE).otherwise(F.col("kind"))
+    counted = checks.groupBy("table", "rule", "key", kind.alias("kind")).agg(
+        F.count(F.when(F.col("kind") != _REFERRED, 1)).alias("rows"),
+        F.bool_or(F.col("kind") == _REFERRED).alias("referred"),
+    )
+    wrong = (
+        (F.col("kind") == _BROKEN)
+        | ((F.col("kind") == _UNIQUE) & (F.col("rows") > 1))
+        | ((F.col("kind") == _REFERENCE) & (F.col("rows") > 0) & ~F.col("referred"))
+    )
+    return counted.filter(wrong).select("table", "rule", F.array_join("key", "|").alias("key"), "rows")
 
 
 def cascade_delete(

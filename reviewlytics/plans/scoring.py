@@ -8,6 +8,7 @@ aggregated where its reviews are read, so it makes no hot partition.
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from reviewlytics.functions.numbers import round_half_up
 from reviewlytics.operators.bounded import combine, restrict_to_keys
 from reviewlytics.operators.matching import MatchLimits, match_seeds, sentiment_per_feature
+from reviewlytics.operators.whole_words import match_whole_words, whole_word_sentiment
 from reviewlytics.schema import SCORE_TYPE, Model
 
 # Fixed values of the score: squash bound, prior strength, neutral point, score without
@@ -31,16 +33,21 @@ def active_features(feature: DataFrame) -> DataFrame:
 
 
 def seed_review_match(
-    review: DataFrame, seed: DataFrame, limits: MatchLimits = MatchLimits()
+    review: DataFrame, seed: DataFrame, limits: MatchLimits = MatchLimits(), whole_word: bool = False
 ) -> DataFrame:
-    """(review, hotel, seed, feature, weight, mentions) of every matching pair."""
+    """(review, hotel, seed, feature, weight, mentions) of every matching pair. Phrases are regexes that also
+    match inside words; with ``whole_word`` they are sequences of whole words."""
+    if whole_word:
+        return match_whole_words(review, seed, ["review_id", "hotel_id"])
     return match_seeds(review, seed, ["review_id", "hotel_id"], limits=limits)
 
 
 def review_feature_sentiment(
-    review: DataFrame, seed: DataFrame, limits: MatchLimits = MatchLimits()
+    review: DataFrame, seed: DataFrame, limits: MatchLimits = MatchLimits(), whole_word: bool = False
 ) -> DataFrame:
     """Sum of the weights of the matching seeds per review and feature; a seed counts once."""
+    if whole_word:
+        return whole_word_sentiment(review, seed, ["hotel_id", "review_id"])
     return sentiment_per_feature(review, seed, ["hotel_id", "review_id"], limits=limits)
 
 
@@ -95,11 +102,13 @@ def calc_ratings(
     no_mentions: float = NO_MENTIONS,
     updated: datetime.date | None = None,
     limits: MatchLimits = MatchLimits(),
+    whole_word: bool = False,
 ) -> DataFrame:
-    """A fresh Rating table: one row per hotel and active feature, mentioned or not."""
+    """A fresh Rating table: one row per hotel and active feature, mentioned or not. ``whole_word`` as
+    in ``seed_review_match``."""
     active = active_features(m.feature).select("feature_id")
     seed = m.seed.join(active, "feature_id", "left_semi")
-    sentiment = review_feature_sentiment(m.review, seed, limits)
+    sentiment = review_feature_sentiment(m.review, seed, limits, whole_word)
     # The grid rides along as rows without a sentiment: one aggregation instead of an
     # aggregation and a join, and reviews of unknown hotels find no grid row.
     grid = hotel_feature_grid(m.hotel, m.feature).select(
@@ -112,6 +121,18 @@ def calc_ratings(
     totals = scored.groupBy("hotel_id", "feature_id").agg(
         *_mentions(), F.max("_grid").alias("_grid")
     )
+    return _scored(totals, squash, prior_strength, neutral, no_mentions, updated)
+
+
+def _scored(
+    totals: DataFrame,
+    squash: float,
+    prior_strength: float,
+    neutral: float,
+    no_mentions: float,
+    updated: datetime.date | None,
+) -> DataFrame:
+    """Rating rows of the pairs that are in the grid."""
     score = shrunk_score(
         F.col("total_mentions"), F.col("avg_sentiment"), squash, prior_strength, neutral,
         no_mentions,
@@ -128,14 +149,76 @@ def calc_ratings(
     )
 
 
-def refresh_hotels(m: Model, touched: DataFrame, **options) -> DataFrame:
-    """The Rating table with the ``touched`` hotels (column hotel_id) scored again.
+# What a score is made of. Totals of different reviews add up, so they can be kept beside the
+# ratings: an added review is matched once, a deleted one is subtracted.
+TOTALS = "hotel_id bigint, feature_id bigint, mentions bigint, sentiment bigint, positive bigint, negative bigint"
+_COUNTS = ("mentions", "sentiment", "positive", "negative")
+
+
+def mention_totals(
+    review: DataFrame, seed: DataFrame, limits: MatchLimits = MatchLimits(), whole_word: bool = False
+) -> DataFrame:
+    """TOTALS of ``review``: per hotel and feature with a mention the reviews that mention it, the sum
+    of their sentiments, and the positive and negative ones."""
+    found = review_feature_sentiment(review, seed, limits, whole_word)
+    s = F.col("sentiment")
+    counts = [
+        F.count(s).alias("mentions"), F.sum(s).alias("sentiment"),
+        F.sum((s > 0).cast("bigint")).alias("positive"), F.sum((s < 0).cast("bigint")).alias("negative"),
+    ]
+    return found.groupBy("hotel_id", "feature_id").agg(*counts)
+
+
+def merge_totals(*parts: DataFrame) -> DataFrame:
+    """The totals of all parts together; a pair without any mention left is no row."""
+    both = reduce(DataFrame.unionByName, parts)
+    summed = both.groupBy("hotel_id", "feature_id").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return summed.filter("mentions <> 0")
+
+
+def taken_away(totals: DataFrame) -> DataFrame:
+    """The totals to merge when their reviews have gone."""
+    return totals.select("hotel_id", "feature_id", *[(-F.col(c)).alias(c) for c in _COUNTS])
+
+
+def ratings_from_totals(
+    hotel: DataFrame,
+    feature: DataFrame,
+    totals: DataFrame,
+    squash: float = SQUASH,
+    prior_strength: float = PRIOR_STRENGTH,
+    neutral: float = NEUTRAL,
+    no_mentions: float = NO_MENTIONS,
+    updated: datetime.date | None = None,
+) -> DataFrame:
+    """A Rating table from stored totals; no text is read. Equals ``calc_ratings`` over the
+    reviews that the totals count."""
+    grid = hotel_feature_grid(hotel, feature).select(
+        "hotel_id", "feature_id", *[F.lit(None).cast("bigint").alias(c) for c in _COUNTS], F.lit(1).alias("_grid")
+    )
+    placed = totals.select("hotel_id", "feature_id", *_COUNTS, F.lit(0).alias("_grid")).unionByName(grid)
+    n = F.coalesce(F.sum("mentions"), F.lit(0).cast("bigint"))
+    mean = F.coalesce(F.sum("sentiment").cast("double") / F.nullif(n, F.lit(0)), F.lit(0.0))
+    pairs = placed.groupBy("hotel_id", "feature_id").agg(
+        n.alias("total_mentions"), mean.alias("avg_sentiment"), F.sum("positive").alias("positive_mentions"),
+        F.sum("negative").alias("negative_mentions"), F.max("_grid").alias("_grid"),
+    )
+    return _scored(pairs, squash, prior_strength, neutral, no_mentions, updated)
+
+
+def refresh_hotels(m: Model, touched: DataFrame, totals: DataFrame | None = None, **options) -> DataFrame:
+    """The Rating table with the ``touched`` hotels (column hotel_id) scored again; all other rows are
+    carried over. Equals a full scoring if nothing but the touched hotels changed.
 
-    Only their reviews are matched; all other rows are carried over. Equals a full scoring if
-    nothing but the touched hotels changed.
+    With ``totals`` (``mention_totals`` of all reviews as they are now) no text is read; without
+    them the touched hotels' reviews are matched.
     """
     keys = touched.select("hotel_id").distinct()
+    [kept] = restrict_to_keys([m.rating.drop("rating_id")], "hotel_id", keys, exclude=True)
+    if totals is not None:
+        hotel, part = restrict_to_keys([m.hotel, totals], "hotel_id", keys)
+        options = {k: v for k, v in options.items() if k not in ("limits", "whole_word")}
+        return kept.unionByName(ratings_from_totals(hotel, m.feature, part, **options))
     hotel, review = restrict_to_keys([m.hotel, m.review], "hotel_id", keys)
     part = m.with_(hotel=hotel, review=review)
-    [kept] = restrict_to_keys([m.rating], "hotel_id", keys, exclude=True)
     return kept.unionByName(calc_ratings(part, **options))

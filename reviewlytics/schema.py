@@ -11,6 +11,9 @@ RATING_TYPE = T.DecimalType(2, 1)  # star and overall ratings
 SCORE_TYPE = T.DecimalType(5, 2)
 WEIGHT_TYPE = T.DecimalType(2, 0)
 
+# The day on which a row was stored; frames that were never stored may lack it, as they may lack rating_id.
+CREATED = T.StructField("created_date", T.DateType())
+
 HOTEL = T.StructType(
     [
         T.StructField("hotel_id", T.LongType(), False),
@@ -19,6 +22,7 @@ HOTEL = T.StructType(
         T.StructField("city", T.StringType()),
         T.StructField("country", T.StringType()),
         T.StructField("star_rating", RATING_TYPE),
+        CREATED,
     ]
 )
 FEATURE = T.StructType(
@@ -27,6 +31,7 @@ FEATURE = T.StructType(
         T.StructField("feature_name", T.StringType(), False),
         T.StructField("description", T.StringType()),
         T.StructField("is_active", T.StringType()),
+        CREATED,
     ]
 )
 SEED = T.StructType(
@@ -35,6 +40,7 @@ SEED = T.StructType(
         T.StructField("feature_id", T.LongType(), False),
         T.StructField("seed_phrase", T.StringType(), False),
         T.StructField("weight", WEIGHT_TYPE, False),
+        CREATED,
     ]
 )
 REVIEW = T.StructType(
@@ -45,10 +51,12 @@ REVIEW = T.StructType(
         T.StructField("reviewer_name", T.StringType()),
         T.StructField("review_date", T.DateType()),
         T.StructField("overall_rating", RATING_TYPE),
+        CREATED,
     ]
 )
 RATING = T.StructType(
     [
+        T.StructField("rating_id", T.LongType()),
         T.StructField("hotel_id", T.LongType(), False),
         T.StructField("feature_id", T.LongType(), False),
         T.StructField("score", SCORE_TYPE),

@@ -13,8 +13,10 @@ from reviewlytics import schema as S
 from reviewlytics.functions.clean import na_to_number, parse_review_date, seed_weight
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids, unique_ids
+from reviewlytics.operators.lineage import Scratch
 from reviewlytics.operators.maintenance import one_per_key
 from reviewlytics.schema import Model
+from reviewlytics.sources.split_csv import read_split_csv
 
 RAW_FILES = {
     "hotels": S.RAW_HOTEL,
@@ -25,16 +27,18 @@ RAW_FILES = {
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False, scratch: Scratch | None = None
 ) -> DataFrame:
     """A CSV with header; quotes inside a quoted field are doubled.
 
-    One record per line keeps large files splittable. ``multi_line`` accepts line breaks in
-    quoted fields, at the price of one task per file: give such input as many files. A record with
-    too few or too many fields, as a line break in a quoted field makes it without ``multi_line``,
-    stops the read; columns are not pruned while parsing, so that every record is checked.
+    ``multi_line`` accepts line breaks in quoted fields; the files are cut into records in byte ranges, twice
+    read, and the records stored (``split_csv``), in ``scratch`` if it is given. A record with too few or too many
+    fields, as a line break in a quoted field makes it without ``multi_line``, stops the read; columns are not
+    pruned while parsing, so that every record is checked.
     """
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+    if multi_line:
+        return read_split_csv(spark, path, schema, scratch)
+    reader = spark.read.schema(schema).option("header", True)
     reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
     return reader.option("quote", '"').option("escape", '"').csv(path)
 
@@ -91,26 +95,42 @@ def load_seeds(raw: DataFrame, feature: DataFrame) -> DataFrame:
     return assign_ids(_first_of_each(_typed_seeds(raw, feature), SEED_KEY), "seed_id", SEED_KEY)
 
 
-def load_rejections(hotels: DataFrame, features: DataFrame, seeds: DataFrame, feature: DataFrame) -> DataFrame:
-    """Raw rows that were left out as duplicates: table, key (an array), rows."""
+def load_rejections(
+    hotels: DataFrame, features: DataFrame, seeds: DataFrame, feature: DataFrame, located: DataFrame | None = None
+) -> DataFrame:
+    """Raw rows that were left out: table, key (an array), reason, rows. Duplicates of hotels, features and
+    seeds, seeds of unknown features and, of ``located_reviews``, reviews of unknown hotels."""
 
-    def repeated(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
-        more = one_per_key(df, keys).filter("_rows > 1")
+    def counted(table: str, df: DataFrame, keys: list[str], reason: str) -> DataFrame:
         key = F.array(*[F.col(k).cast("string") for k in keys]).alias("key")
-        return more.select(F.lit(table).alias("table"), key, (F.col("_rows") - 1).alias("rows"))
+        return df.select(F.lit(table).alias("table"), key, F.lit(reason).alias("reason"), "rows")
+
+    def repeated(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        more = one_per_key(df, keys).filter("_rows > 1").withColumn("rows", F.col("_rows") - 1)
+        return counted(table, more, keys, "duplicate")
+
+    def unknown(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        return counted(table, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys, f"unknown {keys[0].split('_')[0]}")
 
     found = repeated("hotel", _typed_hotels(hotels), HOTEL_KEY)
     found = found.unionByName(repeated("feature", features, FEATURE_KEY))
-    return found.unionByName(repeated("seed", _typed_seeds(seeds, feature), SEED_KEY))
+    found = found.unionByName(repeated("seed", _typed_seeds(seeds, feature), SEED_KEY))
+    names = feature.select("feature_id", "feature_name")
+    lost = join_dimension(seeds, names, "feature_name", "left").filter("feature_id is null")
+    found = found.unionByName(unknown("seed", lost, ["feature_name", "seed_phrase"]))
+    if located is not None:
+        found = found.unionByName(unknown("review", located.filter("hotel_id is null"), ["hotel_name"]))
+    return found
 
 
-def typed_reviews(raw: DataFrame, hotel: DataFrame) -> DataFrame:
-    """Reviews of known hotels, without ids.
+def located_reviews(raw: DataFrame, hotel: DataFrame) -> DataFrame:
+    """Typed reviews without ids, with hotel_name; those of unknown hotels have no hotel_id.
 
     The hotel is found by its name alone: a name in two cities gives the review to both.
     """
     names = hotel.select("hotel_id", "hotel_name")
-    return join_dimension(raw, names, "hotel_name").select(
+    return join_dimension(raw, names, "hotel_name", "left").select(
+        "hotel_name",
         "hotel_id",
         "review_text",
         "reviewer_name",
@@ -119,6 +139,11 @@ def typed_reviews(raw: DataFrame, hotel: DataFrame) -> DataFrame:
     )
 
 
+def typed_reviews(raw: DataFrame, hotel: DataFrame) -> DataFrame:
+    """Reviews of known hotels, without ids."""
+    return located_reviews(raw, hotel).filter("hotel_id is not null").drop("hotel_name")
+
+
 def load_reviews(raw: DataFrame, hotel: DataFrame, by_hotel: bool = True) -> DataFrame:
     """Typed reviews with unique ids; write them before anything refers to the ids.
 
@@ -127,7 +152,10 @@ def load_reviews(raw: DataFrame, hotel: DataFrame, by_hotel: bool = True) -> Dat
     hotel with a third of all reviews, or a review copied that often, still spreads over many
     tasks. Without it every review stays where it was read.
     """
-    typed = typed_reviews(raw, hotel)
+    return _numbered(typed_reviews(raw, hotel), by_hotel)
+
+
+def _numbered(typed: DataFrame, by_hotel: bool) -> DataFrame:
     if by_hotel:
         placed = typed.withColumn("_place", F.monotonically_increasing_id())
         ordered = placed.repartitionByRange("hotel_id", "_place")
@@ -139,13 +167,14 @@ def _table_path(root: str, table: str) -> str:
     return os.path.join(root, table)
 
 
-def _switch(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
-    """Put finished folders in the place of old ones; old ones go once all new ones stand."""
+def switch(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Put finished folders in the place of old ones; old ones go once all new ones stand, and so do the
+    folders in which the new ones were written, if nothing else is in them."""
     conf = spark._jsc.hadoopConfiguration()
     new_path = spark._jvm.org.apache.hadoop.fs.Path
     old = []
+    fs = new_path(moves[0][1]).getFileSystem(conf)
     for source, target in moves:
-        fs = new_path(target).getFileSystem(conf)
         fs.mkdirs(new_path(target).getParent())
         if fs.exists(new_path(target)):
             aside = f"{target}-old-{uuid.uuid4().hex}"
@@ -156,6 +185,10 @@ def _switch(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
             raise OSError(f"{source} could not be moved to {target}")
     for fs, aside in old:
         fs.delete(new_path(aside), True)
+    for source, target in moves:
+        fresh = new_path(source).getParent()
+        if not fresh.equals(new_path(target).getParent()) and fs.exists(fresh) and not fs.listStatus(fresh):
+            fs.delete(fresh, False)
 
 
 def _replace(df: DataFrame, path: str) -> None:
@@ -163,7 +196,7 @@ def _replace(df: DataFrame, path: str) -> None:
     a failed write leaves that table as it was."""
     fresh = f"{path}-new-{uuid.uuid4().hex}"
     df.write.parquet(fresh)
-    _switch(df.sparkSession, [(fresh, path)])
+    switch(df.sparkSession, [(fresh, path)])
 
 
 def read_tables(spark: SparkSession, root: str) -> Model:
@@ -186,49 +219,57 @@ def reload_tables(
     """Replace all five tables under ``root`` by the raw rows; ratings start empty.
 
     Parents are written before their children look ids up, so every id is read from a table
-    and never recomputed. Rows left out as duplicates are counted in ``<root>/rejected`` (table,
-    key, rows). All tables are written beside the old ones, which they replace at the end.
+    and never recomputed. Rows left out are counted in ``<root>/rejected`` (table, key, reason, rows). The
+    reviews are typed and located once and stored for the range split and the count of rejections, which
+    both read them again. All tables are written beside the old ones, which they replace at the end.
     """
     fresh = f"{root.rstrip('/')}-new-{uuid.uuid4().hex}"
-
-    def put(name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(_table_path(fresh, name))
-        return spark.read.schema(df.schema).parquet(_table_path(fresh, name))
-
-    hotel, feature = put("hotel", load_hotels(hotels)), put("feature", load_features(features))
-    put("seed", load_seeds(seeds, feature))
-    put("review", load_reviews(reviews, hotel, by_hotel))
-    put("rating", spark.createDataFrame([], S.RATING))
-    put("rejected", load_rejections(hotels, features, seeds, feature))
+    with Scratch(spark) as scratch:
+        hotel = write_table(load_hotels(hotels), fresh, "hotel")
+        feature = write_table(load_features(features), fresh, "feature")
+        write_table(load_seeds(seeds, feature), fresh, "seed")
+        located = scratch.store(located_reviews(reviews, hotel), "located")
+        typed = located.filter("hotel_id is not null").drop("hotel_name")
+        write_table(_numbered(typed, by_hotel), fresh, "review")
+        write_table(spark.createDataFrame([], S.RATING), fresh, "rating")
+        rejected = load_rejections(hotels, features, seeds, feature, located)
+        rejected.write.parquet(_table_path(fresh, "rejected"))
     names = (*S.TABLES, "rejected")
-    _switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in names])
+    switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in names])
     return read_tables(spark, root)
 
 
+def write_table(df: DataFrame, root: str, name: str) -> DataFrame:
+    """A new table in its stored form, read back: ratings numbered, other rows with their day."""
+    df = unique_ids(df.drop("rating_id"), "rating_id") if name == "rating" else dated(df)
+    path = _table_path(root, name)
+    df.select(*S.TABLES[name].fieldNames()).write.parquet(path)
+    return df.sparkSession.read.schema(S.TABLES[name]).parquet(path)
+
+
+def dated(df: DataFrame) -> DataFrame:
+    """created_date of rows that have none is today."""
+    given = F.col("created_date") if "created_date" in df.columns else F.lit(None).cast("date")
+    return df.withColumn("created_date", F.coalesce(given, F.current_date()))
+
+
 def write_tables(m: Model, root: str) -> Model:
     """Store a model's tables under ``root``, beside any old ones until all are written."""
     spark = m.hotel.sparkSession
     fresh = f"{root.rstrip('/')}-new-{uuid.uuid4().hex}"
     for name, schema in S.TABLES.items():
         df = getattr(m, name)
-        df = spark.createDataFrame([], schema) if df is None else df.select(*schema.fieldNames())
-        df.write.parquet(_table_path(fresh, name))
-    _switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in S.TABLES])
+        write_table(spark.createDataFrame([], schema) if df is None else df, fresh, name)
+    switch(spark, [(_table_path(fresh, n), _table_path(root, n)) for n in S.TABLES])
     return read_tables(spark, root)
 
 
-def put_aside(rows: DataFrame, root: str, name: str) -> DataFrame:
-    """Rows meant for a table, written once: what is read back has fixed ids."""
-    path = f"{_table_path(root, name)}-added-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(S.TABLES[name]).parquet(path)
-
-
-def append_rows(rows: DataFrame, root: str, name: str) -> DataFrame:
-    """Append accepted rows to a stored table; returns the rows as stored."""
-    stored = put_aside(rows.select(*S.TABLES[name].fieldNames()), root, name)
-    stored.write.mode("append").parquet(_table_path(root, name))
-    return stored
+def append_rows(rows: DataFrame, root: str, name: str, scratch: Scratch) -> DataFrame:
+    """Append accepted rows to a stored table; returns them as they were appended. They are written to ``scratch``
+    first: what is read back has fixed ids, and may come from the table that it is added to."""
+    fixed = scratch.store(dated(rows).select(*S.TABLES[name].fieldNames()), name)
+    fixed.write.mode("append").parquet(_table_path(root, name))
+    return fixed
 
 
 def load_tables(
@@ -239,11 +280,12 @@ def load_tables(
     Texts with line breaks need ``multi_line``; without it such a record stops the load (see
     ``read_csv``). ``by_hotel`` as in ``load_reviews``.
     """
-    raw = {
-        name: read_csv(spark, os.path.join(csv_root, name), schema, multi_line)
-        for name, schema in RAW_FILES.items()
-    }
-    return reload_tables(spark, root, **raw, by_hotel=by_hotel)
+    with Scratch(spark) as scratch:
+        raw = {
+            name: read_csv(spark, os.path.join(csv_root, name), schema, multi_line, scratch)
+            for name, schema in RAW_FILES.items()
+        }
+        return reload_tables(spark, root, **raw, by_hotel=by_hotel)
 
 
 def write_ratings(rating: DataFrame, root: str) -> DataFrame:
@@ -251,4 +293,4 @@ def write_ratings(rating: DataFrame, root: str) -> DataFrame:
     the table it replaces, as after a refresh of some hotels."""
     path = _table_path(root, "rating")
     _replace(unique_ids(rating.drop("rating_id"), "rating_id"), path)
-    return rating.sparkSession.read.parquet(path)
+    return rating.sparkSession.read.schema(S.RATING).parquet(path)

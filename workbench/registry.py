@@ -15,7 +15,7 @@ from reviewlytics.functions.text import phrase_count, sentences, words
 from reviewlytics.operators import maintenance
 from reviewlytics.operators.bounded import join_dimension
 from reviewlytics.operators.ids import assign_ids
-from reviewlytics.operators.lineage import scratch_folder
+from reviewlytics.operators.lineage import scratch_folder, written
 from reviewlytics.plans import mining, scoring, search, sentiment, upkeep, views
 from reviewlytics.plans.aspects import ASPECTS, WordLookups, keyword_lemmas
 from reviewlytics.schema import RATING_TYPE, Model
@@ -121,6 +121,35 @@ def hotel_feature_mentions(b: Binding) -> DataFrame:
     return found.withColumn("avg_sentiment", round_half_up(F.col("avg_sentiment"), 6))
 
 
+# Phrases as whole words: where a text has a phrase's first word, the following words are compared.
+WHOLE_WORD_HIT = r"""
+    WITH text_words AS MATERIALIZED (
+        SELECT review_id, hotel_id, overall_rating, regexp_extract_all(lower(review_text), '[\p{L}\p{N}_]+') AS w
+        FROM review),
+    phrase_words AS MATERIALIZED (
+        SELECT seed_id, feature_id, weight, regexp_extract_all(lower(seed_phrase), '[\p{L}\p{N}_]+') AS p FROM seed),
+    begun AS MATERIALIZED (
+        SELECT review_id, i, seed_id, feature_id, weight, p
+        FROM (SELECT review_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM text_words) AS t
+        JOIN phrase_words ON x = p[1])
+    SELECT t.review_id, t.hotel_id, t.overall_rating, seed_id, feature_id, weight, count(*) AS mentions
+    FROM begun AS b JOIN text_words AS t ON t.review_id = b.review_id
+    WHERE len(p) = 1 OR w[i : i + len(p) - 1] = p GROUP BY ALL"""
+
+
+@register("whole_word_ratings", O.query(RATING_SQL, hit=WHOLE_WORD_HIT))
+def whole_word_ratings(b: Binding) -> DataFrame:
+    return rating_rows(scoring.calc_ratings(b.model(rating=False), updated=UPDATED, whole_word=True))
+
+
+@register(
+    "whole_word_match",
+    O.query("SELECT review_id, hotel_id, seed_id, feature_id, weight, mentions FROM hit", hit=WHOLE_WORD_HIT),
+)
+def whole_word_match(b: Binding) -> DataFrame:
+    return scoring.seed_review_match(b.review(), b.seed(), whole_word=True)
+
+
 @register("hotel_feature_grid", O.query("SELECT hotel_id, feature_id FROM grid"))
 def hotel_feature_grid(b: Binding) -> DataFrame:
     return scoring.hotel_feature_grid(b.hotel(), b.feature())
@@ -157,12 +186,14 @@ REVIEW_WITH_NEW = f"""{O.CTES['review']}
 
 @register("refresh_hotels", O.query(RATING_SQL, review=REVIEW_WITH_NEW))
 def refresh_hotels(b: Binding) -> DataFrame:
-    m = b.model()
-    added = maintenance.append_reviews(m, new_reviews(b), UPDATED)
-    fresh = scoring.refresh_hotels(
-        m.with_(review=added.table), added.accepted.select("hotel_id"), updated=UPDATED
-    )
-    return rating_rows(fresh)
+    """Totals of the reviews there were, stored; of the added ones alone the texts are matched."""
+    m = b.model(rating=False)
+    added = maintenance.append_reviews(m, new_reviews(b), UPDATED).accepted
+    seed = m.seed.join(scoring.active_features(m.feature).select("feature_id"), "feature_id", "left_semi")
+    before = written(scoring.mention_totals(m.review, seed), "totals")
+    m = m.with_(rating=scoring.ratings_from_totals(m.hotel, m.feature, before, updated=UPDATED))
+    now = scoring.merge_totals(before, scoring.mention_totals(added, seed))
+    return rating_rows(scoring.refresh_hotels(m, added.select("hotel_id"), now, updated=UPDATED))
 
 
 # --- views -----------------------------------------------------------------------------------
@@ -1300,10 +1331,69 @@ def append_hotels_with_review(b: Binding) -> DataFrame:
 def add_reviews_and_rescore(b: Binding) -> DataFrame:
     """Stored tables, stored ratings: only the touched hotels' reviews are matched."""
     root = scratch_folder(b.spark, "upkeep")
-    tables.write_tables(b.model(), root)
+    tables.write_tables(b.model(rating=False), root)
+    upkeep.score_tables(b.spark, root, updated=UPDATED)
     return rating_rows(upkeep.add_reviews(b.spark, root, new_reviews(b), UPDATED, updated=UPDATED).model.rating)
 
 
+# Every thirteenth review goes, whoever wrote it.
+@register(
+    "delete_reviews_and_rescore",
+    O.query(RATING_SQL, review=f"SELECT * FROM ({O.CTES['review']}) AS r WHERE review_id % 13 <> 0"),
+)
+def delete_reviews_and_rescore(b: Binding) -> DataFrame:
+    root = scratch_folder(b.spark, "upkeep")
+    tables.write_tables(b.model(rating=False), root)
+    m = upkeep.score_tables(b.spark, root, updated=UPDATED)
+    gone = m.review.filter("review_id % 13 = 0").select("review_id")
+    return rating_rows(upkeep.delete_reviews(b.spark, root, gone, updated=UPDATED).rating)
+
+
+# Hotels of one region go with all that refers to them; nothing is scored again.
+@register(
+    "delete_hotels",
+    O.query(
+        """SELECT hotel_id, total_reviews, mean_score FROM hotel_stat WHERE country <> 'AFRICA'"""
+    ),
+)
+def delete_hotels(b: Binding) -> DataFrame:
+    root = scratch_folder(b.spark, "upkeep")
+    tables.write_tables(b.model(rating=False), root)
+    m = upkeep.score_tables(b.spark, root, updated=UPDATED)
+    left = upkeep.delete_hotels(b.spark, root, m.hotel.filter("country = 'AFRICA'").select("hotel_id"))
+    stats = views.with_hotel_stats(left)
+    return stats.select("hotel_id", "total_reviews", "mean_score")
+
+
+@register(
+    "load_rejections",
+    O.query(
+        """SELECT 'review' AS table_name, hotel_name AS key, count(*) AS n FROM new_review
+        WHERE hotel_name NOT IN (SELECT hotel_name FROM hotel) GROUP BY hotel_name
+        UNION ALL
+        SELECT 'seed', feature_name || '|' || seed_phrase, count(*) FROM new_seed
+        WHERE feature_name = 'Nowhere' GROUP BY feature_name, seed_phrase
+        UNION ALL
+        SELECT 'seed', feature_id || '|' || seed_phrase, count(*) - 1 FROM new_seed JOIN feature USING (feature_name)
+        GROUP BY feature_id, seed_phrase HAVING count(*) > 1""",
+        new_review=NEW_REVIEW_SQL,
+        new_seed=f"""SELECT CASE WHEN p_size = 50 THEN 'Nowhere' ELSE {O.per_type(1)} END AS feature_name,
+            lower(p_brand) AS seed_phrase FROM part""",
+    ),
+)
+def load_rejections(b: Binding) -> DataFrame:
+    """Rows that a load would leave out: reviews under names of no hotel, brands as seeds."""
+    size = F.col("p_size")
+    seeds = b.table("part").select(
+        F.when(size == 50, "Nowhere").otherwise(per_type(1)).alias("feature_name"), F.lower("p_brand").alias("seed_phrase"),
+        F.lit("1").alias("weight"),
+    )
+    reviews = new_reviews(b).withColumn("overall_rating", F.lit("NA")).withColumn("review_date", F.lit(None).cast("string"))
+    located = tables.located_reviews(reviews, b.hotel())
+    found = tables.load_rejections(b.raw_hotels(), b.raw_features(), seeds, b.feature(), located)
+    return found.select(F.col("table").alias("table_name"), F.array_join("key", "|").alias("key"), F.col("rows").alias("n"))
+
+
 # The ids of added hotels are no part of the result; any unused numbers do.
 HOTEL_WITH_NEW = f"""
     SELECT hotel_id, hotel_name, address, city, country, star_rating FROM ({O.CTES["hotel"]}) AS h
