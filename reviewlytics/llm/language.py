@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlytics.llm.common import LETTERS, chunks, held_out, lower_ascii
 
@@ -175,9 +176,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     no rows; other columns are ignored.
     """
     given = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in keep]
-    types = "lang_pred string, score double, lang_set array<struct<lang:string,share:double>>"
-    return given.mapInArrow(_predicted(model, list(keep)), ", ".join([*fields, types]))
+    fields = [f for f in given.schema if f.name in keep]
+    types = T.StructType.fromDDL("lang_pred string, score double, lang_set array<struct<lang:string,share:double>>")
+    return given.mapInArrow(_predicted(model, list(keep)), T.StructType([*fields, *types]))
 
 
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:

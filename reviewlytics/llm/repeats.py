@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reviewlytics.llm.common import chunks, mix64, powers, INVERSE, prefix_hashes, ranks, span_hashes, stored
+from reviewlytics.llm.common import chunks, discard, mix64, powers, INVERSE, prefix_hashes, ranks, span_hashes, stored
 
 LENGTH = 200
 GRAM = 50
@@ -416,6 +417,7 @@ def _found(keyed: DataFrame, length: int, gram: int, once: bool = True):
     # Stored first, so that the join reads plain shuffles on both sides and a hot gram can be split.
     twice = stored(twice, "grams")
     repeated = stored(every.join(twice.hint("merge"), "gram"), "repeated")
+    discard(every, twice)
     one = F.first(F.struct("doc_id", "h", "at", "span", "back")).alias("one")
     contexts = stored(repeated.groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     open_ = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.min("n").alias("least"))
@@ -583,8 +585,7 @@ def remove_repeats(
     ).withColumn("h", F.xxhash64("text"))
     joined = whole.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     joined = joined.select("kept", "text", F.coalesce("spans", none).alias("spans"))
-    kept = joined.schema["kept"].dataType.simpleString()
-    schema = f"kept {kept}, kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    out = joined.mapInArrow(_removed(["kept"]), schema)
+    types = T.StructType.fromDDL("kept_text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = joined.mapInArrow(_removed(["kept"]), T.StructType([joined.schema["kept"], *types]))
     names = ["kept_text"] * with_text + ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select("kept.*", *names)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlytics.llm.common import chunks, mix64
 
@@ -235,8 +236,8 @@ def periodic_runs(
     follows its longest text.
     """
     given = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
-    kept = given.schema["kept"].dataType.simpleString()
-    found = given.mapInArrow(_found(words, times), f"kept {kept}, runs array<{RUN}>, collapsed string")
+    types = T.StructType.fromDDL(f"runs array<{RUN}>, collapsed string")
+    found = given.mapInArrow(_found(words, times), T.StructType([given.schema["kept"], *types]))
     return found.select("kept.*", "runs", "collapsed")
 
 

@@ -88,3 +88,24 @@ def test_sequences(stages):
 def test_run_is_the_stages_in_turn(spark, stages):
     want = Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in stages[5].collect())
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF_DIR).collect()) == want
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = "word%d " * 60
+    rows = [(k, (long % tuple(range(k * 7, k * 7 + 60))), "en") for k in range(1, 9)]
+    rows += [(20, None, None), (21, "", "en"), (22, "12 34", "en"), (None, "a text without an id", None), (23, "one text of an id", "en"), (23, "quite another text here", None), (1, rows[0][1], "en")]
+    names = ("lang_pred", "score", "lang_set", "kept_text", "n_bytes", "n_removed", "h", "row", "kept", "spans", "gram", "c", "key", "a b")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr(
+        "*", "'s' AS source", "CAST(length(text) AS bigint) AS n_chars", *[f"{k} AS `{n}`" for k, n in enumerate(names)]
+    )
+    for df in (docs, docs.where("false")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            got = stage(spark, df, SF_DIR)
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes
+            kept = got.collect()
+            assert all([r[n] for n in names] == list(range(len(names))) for r in kept)
+            if df is docs and k == 0:
+                assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(d) for d, t, _ in rows if re.search("[a-z]", t or ""))
+            if df is docs and k == 1:  # equal rows are one document, other texts of an id are not lost
+                assert len(kept) == len(rows) - 1
+        assert corpus_pipeline.pack_sequences(spark, df, SF_DIR).count() == df.count()
