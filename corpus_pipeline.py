@@ -18,27 +18,33 @@ from reviewlytics.llm.queries import vocabulary
 ORACLE_SQL = None
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, and every row as a struct, so that no name of the table meets one of an operator."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without text or letters go. The model learns from the
     labelled documents."""
     model = language.fit(docs.where("doc_id is not null"))
-    found = language.predict(docs, model, tuple(docs.columns))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    found = language.predict(_rows(docs, "text"), model, ("row",))
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; repeated
-    rows of one doc_id are one document, rows without doc_id stay."""
+    rows of one doc_id and text are one document, rows without doc_id stay. Of a doc_id with several texts, of
+    which one is looked at, all stay or go."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 200 bytes and more that occur elsewhere too."""
-    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    cut = repeats.remove_repeats(docs, keep=others).withColumnRenamed("kept_text", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    cut = repeats.remove_repeats(_rows(docs, "doc_id", "text"), keep=("row",))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
