@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 MAX_LITERAL_KEYS = 1_000
 MAX_BROADCAST_ROWS = 500_000
+#: Files of so many bytes hold few enough rows to send them to every task.
+SMALL_BYTES = 8 << 20
 SALTS = 64
 
 
@@ -23,6 +25,12 @@ def rows_within(df: DataFrame, bound: int) -> list[Row] | None:
     return rows if len(rows) <= bound else None
 
 
+def known_small(df: DataFrame) -> bool:
+    """Whether the optimizer's own bound of the size, as from the sizes of files, is small. No job runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SMALL_BYTES
+
+
 def restrict_to_keys(
     tables: list[DataFrame],
     key: str,
@@ -69,12 +77,13 @@ def join_dimension(
 ) -> DataFrame:
     """Join a fact table to a narrow dimension (``how``: inner or left).
 
-    Up to ``max_rows`` dimension rows are broadcast, so the fact rows stay where they are.
-    Beyond that both sides shuffle. One key, or copies of one row, may make up a large share of
+    Up to ``max_rows`` dimension rows are broadcast, so the fact rows stay where they are; they are
+    counted unless the size of their files already tells. Beyond that both sides shuffle. One key, or copies of one row, may make up a large share of
     the fact table, so its rows are salted by their position (stable for rows that come from a
     scan) and the dimension is repeated once per salt.
     """
-    if dimension.limit(max_rows + 1).count() <= max_rows:
+    known = max_rows >= MAX_BROADCAST_ROWS and known_small(dimension)
+    if known or dimension.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dimension), on, how)
     salted_dimension = dimension.withColumn("_salt", F.explode(_all_salts()))
     return _salted(fact).join(salted_dimension, [on, "_salt"], how).drop("_salt")

@@ -147,3 +147,41 @@ def test_stored_columns(spark, root):
     broken = m.with_(rating=m.rating.withColumn("rating_id", F.when(F.col("feature_id") == 1, 5)))
     got = {(r.rule, r.key): r.rows for r in maintenance.validate(broken).collect()}
     assert got[("rating_id unique", "5")] == 4 and got[("rating_id not null", "1|2")] == 1
+
+
+def test_a_search_skips_row_groups_of_stored_tables(spark, rows, tmp_path):
+    import pyarrow.parquet as pq
+
+    review = spark.range(60_000).select(
+        F.col("id").alias("review_id"), (F.col("id") * 7919 % 600).alias("hotel_id"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("review_text"),
+        F.lit(None).cast("string").alias("reviewer_name"), F.lit(None).cast("date").alias("review_date"),
+        F.lit(None).cast("decimal(2,1)").alias("overall_rating"),
+    )
+    spark.conf.set("parquet.block.size", str(256 << 10))
+    try:
+        stored = tables.write_table(review.coalesce(2), str(tmp_path), "review")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    met = groups = 0
+    for file in stored.inputFiles():
+        meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+        at = [meta.schema.names.index("hotel_id")] * meta.num_row_groups
+        bounds = [meta.row_group(k).column(c).statistics for k, c in enumerate(at)]
+        met += sum(b.min <= 77 <= b.max for b in bounds)
+        groups += len(bounds)
+    assert groups >= 8 and met <= 2 * len(stored.inputFiles())
+    assert stored.filter("hotel_id = 77").count() == 100
+
+
+def test_a_failed_switch_moves_everything_back(spark, tmp_path):
+    def table(name, n):
+        spark.range(n).write.parquet(str(tmp_path / name))
+
+    table("t/a", 1), table("t/b", 2), table("new/a", 3)
+    moves = [(str(tmp_path / "new" / n), str(tmp_path / "t" / n)) for n in ("a", "b")]
+    with pytest.raises(Exception, match="could not be moved|does not exist"):
+        tables.switch(spark, moves)  # there is no new/b
+    assert sorted(os.listdir(tmp_path / "t")) == ["a", "b"] and os.listdir(tmp_path / "new") == ["a"]
+    assert [spark.read.parquet(str(tmp_path / p)).count() for p in ("t/a", "t/b", "new/a")] == [1, 2, 3]
+    tables.switch(spark, moves[:1])
+    assert spark.read.parquet(str(tmp_path / "t" / "a")).count() == 3 and os.listdir(tmp_path) == ["t"]

@@ -17,9 +17,12 @@ from pyspark.sql.types import StructType
 from reviewlytics.functions.clean import seed_weight
 from reviewlytics.operators.bounded import join_dimension, local_rows
 from reviewlytics.operators.ids import assign_ids
+from reviewlytics.operators.lineage import scratch_folder
+from reviewlytics.plans import upkeep
 from reviewlytics.plans.aspects import WordTables
 from reviewlytics.plans.scoring import calc_ratings
 from reviewlytics.schema import RATING_TYPE, Model
+from reviewlytics.sources import tables
 from reviewlytics.sources.review_files import file_to_city, file_to_hotel
 from workbench import words as W
 
@@ -28,6 +31,9 @@ UPDATED = datetime.date(2025, 1, 1)
 # Schemas already read from footers, as a catalog would hold them.
 _SCHEMAS: dict[str, StructType] = {}
 
+# (application, folder) -> place of the stored tables.
+_STORED: dict[tuple[str, str], str] = {}
+
 # part type -> (feature_id, feature_name, is_active)
 FEATURES = {
     "SMALL": (1, "Cleanliness", "Y"),
@@ -193,6 +199,16 @@ class Binding:
         m = Model(self.hotel(), self.feature(), self.seed(), self.review())
         return m.with_(rating=calc_ratings(m, updated=UPDATED)) if rating else m
 
+    def stored(self) -> Model:
+        """The tables stored and scored, as searches and views find them: once per application and folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STORED:
+            root = scratch_folder(self.spark, "stored")
+            tables.write_tables(self.model(rating=False), root)
+            upkeep.score_tables(self.spark, root, updated=UPDATED)
+            _STORED[key] = root
+        return tables.read_tables(self.spark, _STORED[key])
+
     # mining -------------------------------------------------------------------------------
 
     def mined_reviews(self) -> DataFrame:

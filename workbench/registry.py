@@ -155,6 +155,14 @@ def hotel_feature_grid(b: Binding) -> DataFrame:
     return scoring.hotel_feature_grid(b.hotel(), b.feature())
 
 
+@register("score_tables", O.query(RATING_SQL))
+def score_tables(b: Binding) -> DataFrame:
+    """Tables stored, scored, and their ratings and totals stored beside them."""
+    root = scratch_folder(b.spark, "scored")
+    tables.write_tables(b.model(rating=False), root)
+    return rating_rows(upkeep.score_tables(b.spark, root, updated=UPDATED).rating)
+
+
 # Reviews to add: all turns of all conversations, spread over the hotels' names.
 NEW_REVIEW_SQL = """
     SELECT 'Supplier#' || lpad(CAST(conv_id % 7 * 3 AS VARCHAR), 9, '0') AS hotel_name,
@@ -208,7 +216,7 @@ def refresh_hotels(b: Binding) -> DataFrame:
     ),
 )
 def v_hotel_ratings(b: Binding) -> DataFrame:
-    return views.hotel_ratings(b.model()).withColumn("last_updated", day("last_updated"))
+    return views.hotel_ratings(b.stored()).withColumn("last_updated", day("last_updated"))
 
 
 @register(
@@ -219,7 +227,7 @@ def v_hotel_ratings(b: Binding) -> DataFrame:
     ),
 )
 def hotel_ratings(b: Binding) -> DataFrame:
-    return views.rating_with_names(b.model()).select("hotel_name", "feature_name", double("score"))
+    return views.rating_with_names(b.stored()).select("hotel_name", "feature_name", double("score"))
 
 
 @register(
@@ -230,7 +238,7 @@ def hotel_ratings(b: Binding) -> DataFrame:
     ),
 )
 def v_hotel_overall(b: Binding) -> DataFrame:
-    return views.hotel_overall(b.model())
+    return views.hotel_overall(b.stored())
 
 
 # The fan-out form of the same numbers, computed as the joined rows stand.
@@ -244,7 +252,7 @@ def v_hotel_overall(b: Binding) -> DataFrame:
     ),
 )
 def hotel_overall(b: Binding) -> DataFrame:
-    return views.hotel_overall(b.model()).drop("city", "country")
+    return views.hotel_overall(b.stored()).drop("city", "country")
 
 
 @register(
@@ -256,7 +264,7 @@ def hotel_overall(b: Binding) -> DataFrame:
 )
 def hotel_left_chain(b: Binding) -> DataFrame:
     means = [round_half_up(F.col(c), 6).alias(c) for c in ("mean_score", "mean_review")]
-    stats = views.with_hotel_stats(b.model())
+    stats = views.with_hotel_stats(b.stored())
     return stats.select("hotel_id", *means, "features_rated", "total_reviews")
 
 
@@ -371,12 +379,12 @@ CARD_COLUMNS = "hotel_id, hotel_name, city, country, overall_rating, cleanliness
     ),
 )
 def q_hotel_rating_card(b: Binding) -> DataFrame:
-    return search.hotel_rating_card(b.model(), O.CARD_NAME)
+    return search.hotel_rating_card(b.stored(), O.CARD_NAME)
 
 
 @register("rating_card_scores", O.query(f"SELECT {CARD_COLUMNS} FROM card"))
 def rating_card_scores(b: Binding) -> DataFrame:
-    return search.rating_cards(b.model())
+    return search.rating_cards(b.stored())
 
 
 RECENT_SQL = f"""SELECT coalesce(reviewer_name, 'Anonymous') AS reviewer_name, review_text,
@@ -389,7 +397,7 @@ RECENT_SQL = f"""SELECT coalesce(reviewer_name, 'Anonymous') AS reviewer_name, r
 
 @register("q_recent_reviews", O.query(RECENT_SQL))
 def q_recent_reviews(b: Binding) -> DataFrame:
-    found = search.recent_reviews(b.model(rating=False), O.REVIEWED_HOTEL)
+    found = search.recent_reviews(b.stored(), O.REVIEWED_HOTEL)
     return found.withColumn("review_date", F.col("review_date").cast("string"))
 
 
@@ -454,7 +462,7 @@ LIST_SCORE = "coalesce(mean_score, mean_review, 0)"
     ),
 )
 def q_hotels_by_city(b: Binding) -> DataFrame:
-    return search.hotels_by_city(b.model(), O.CITY)
+    return search.hotels_by_city(b.stored(), O.CITY)
 
 
 @register(
@@ -465,7 +473,7 @@ def q_hotels_by_city(b: Binding) -> DataFrame:
 )
 def hotel_list_score(b: Binding) -> DataFrame:
     score = F.coalesce("mean_score", "mean_review", F.lit(0.0))
-    return views.with_hotel_stats(b.model()).select(
+    return views.with_hotel_stats(b.stored()).select(
         "hotel_id", round_half_up(score, 6).alias("score"), "total_reviews"
     )
 
@@ -488,7 +496,7 @@ REACHED = " AND ".join(f"{m} >= {v}" for m, v in O.MIN_SCORES.items())
     ),
 )
 def q_advanced_search(b: Binding) -> DataFrame:
-    return search.advanced_search(b.model(), O.CITY, O.MIN_SCORES)
+    return search.advanced_search(b.stored(), O.CITY, O.MIN_SCORES)
 
 
 PIVOT_COLUMNS = ", ".join(ASPECTS)
@@ -499,7 +507,7 @@ PIVOT_COLUMNS = ", ".join(ASPECTS)
     O.query(f"SELECT hotel_id, {O.up('overall', 6)} AS overall, {PIVOT_COLUMNS} FROM pivoted"),
 )
 def feature_pivot(b: Binding) -> DataFrame:
-    pivoted = search.feature_pivot(b.model())
+    pivoted = search.feature_pivot(b.stored())
     return pivoted.withColumn("overall", round_half_up(F.col("overall"), 6))
 
 
@@ -507,7 +515,7 @@ def feature_pivot(b: Binding) -> DataFrame:
     "threshold_having", O.query(f"SELECT hotel_id, {PIVOT_COLUMNS} FROM pivoted WHERE {REACHED}")
 )
 def threshold_having(b: Binding) -> DataFrame:
-    return search.at_least(search.feature_pivot(b.model()), O.MIN_SCORES).drop("overall")
+    return search.at_least(search.feature_pivot(b.stored()), O.MIN_SCORES).drop("overall")
 
 
 @register(
@@ -520,7 +528,7 @@ def threshold_having(b: Binding) -> DataFrame:
 )
 def rank_by_score(b: Binding) -> DataFrame:
     """Ranks of the unrounded means, over one row per distinct mean (at most a few thousand)."""
-    levels = search.feature_pivot(b.model()).groupBy("overall").agg(F.count(F.lit(1)).alias("hotels"))
+    levels = search.feature_pivot(b.stored()).groupBy("overall").agg(F.count(F.lit(1)).alias("hotels"))
     before = Window.orderBy(F.desc("overall")).rowsBetween(Window.unboundedPreceding, -1)
     better = F.coalesce(F.sum("hotels").over(before), F.lit(0))
     return levels.select(
@@ -573,7 +581,7 @@ def first_match(b: Binding) -> DataFrame:
     ),
 )
 def rating_feature_join(b: Binding) -> DataFrame:
-    return search.rating_feature_scores(b.model()).select("hotel_id", "feature_name", double("score"))
+    return search.rating_feature_scores(b.stored()).select("hotel_id", "feature_name", double("score"))
 
 
 @register(
