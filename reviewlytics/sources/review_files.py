@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlytics.functions.clean import title_case
+from reviewlytics.sources.hidden_files import hidden_lines
 
 # Archive suffixes that are no review files; line breaks beyond the newline a
 # text source splits at; white space that is trimmed from a field.
@@ -32,18 +33,29 @@ def _file_system(spark: SparkSession, root: str):
     return fs, fs.makeQualified(path)
 
 
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """Files of the layout whose names begin with ``_`` or ``.``: text sources do not list them."""
+def _hidden(spark: SparkSession, root: str) -> list[tuple[str, str, int]]:
+    """URI, path below the root and bytes of what ``hidden_files`` names."""
     fs, top = _file_system(spark, root)
     found, folders = [], []
     for status in fs.listStatus(top):
-        (folders if status.isDirectory() else found).append(status.getPath())
+        (folders if status.isDirectory() else found).append(status)
     for folder in folders:
-        if not _MARKS.fullmatch(folder.getName()):
-            found += [s.getPath() for s in fs.listStatus(folder) if not s.isDirectory()]
-    names = [p for p in found if p.getName()[0] in "_." or p.getParent().getName()[0] in "_."]
+        if not _MARKS.fullmatch(folder.getPath().getName()):
+            found += [s for s in fs.listStatus(folder.getPath()) if not s.isDirectory()]
     inside = len(top.toUri().getPath().rstrip("/")) + 1
-    return sorted(p.toUri().getPath()[inside:] for p in names if not _MARKS.fullmatch(p.getName()))
+    listed = []
+    for status in found:
+        path = status.getPath()
+        below = path.toUri().getPath()[inside:]
+        hidden = any(part[0] in "_." for part in below.split("/"))
+        if hidden and not _MARKS.fullmatch(path.getName()):
+            listed.append((path.toUri().toASCIIString(), below, status.getLen()))
+    return sorted(listed, key=lambda f: f[1])
+
+
+def hidden_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of the layout whose names begin with ``_`` or ``.``: text sources do not list them."""
+    return [below for _, below, _ in _hidden(spark, root)]
 
 
 def _below_root(path: Column, root: str) -> Column:
@@ -52,19 +64,24 @@ def _below_root(path: Column, root: str) -> Column:
     return F.substr(plain, F.lit(len(root.rstrip("/")) + 2))
 
 
-def review_lines(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
+def review_lines(
+    spark: SparkSession, root: str, skip_hidden: bool = False, read_hidden: bool = False
+) -> DataFrame:
     """(file, value): every line of the files in ``root`` and one directory level below it.
 
     A large file is split over tasks like any text source. ``file`` is the path below the root.
     Files that Spark cannot list (see ``hidden_files``) stop the read with their names, unless
-    ``skip_hidden`` says that they may be left out.
+    ``skip_hidden`` says that they may be left out or ``read_hidden`` that tasks open them
+    themselves (see ``sources.hidden_files``).
     """
     _, top = _file_system(spark, root)
-    hidden = [] if skip_hidden else hidden_files(spark, root)
+    hidden = [] if skip_hidden or read_hidden else hidden_files(spark, root)
     if hidden:
         raise ValueError(f"{len(hidden)} files cannot be listed, rename them: {', '.join(hidden[:20])}")
     lines = spark.read.option("recursiveFileLookup", "true").text(root)
     located = lines.select(_below_root(_decoded_path(), top.toUri().getPath()).alias("file"), "value")
+    if read_hidden:
+        located = located.unionByName(hidden_lines(spark, _hidden(spark, root)))
     depth = F.size(F.split("file", "/"))
     return located.filter((depth <= 2) & ~F.col("file").rlike(SKIPPED_SUFFIX))
 
@@ -104,9 +121,11 @@ def file_to_city(file: Column) -> Column:
     return F.when(F.contains(file, F.lit("/")), _clean_name(F.substring_index(file, "/", 1))).otherwise("")
 
 
-def read_reviews(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
+def read_reviews(
+    spark: SparkSession, root: str, skip_hidden: bool = False, read_hidden: bool = False
+) -> DataFrame:
     """(file, hotel, city, date, subject, review) of all review files under ``root``."""
-    parsed = parse_reviews(review_lines(spark, root, skip_hidden))
+    parsed = parse_reviews(review_lines(spark, root, skip_hidden, read_hidden))
     return parsed.select(
         "file", file_to_hotel(F.col("file")).alias("hotel"),
         file_to_city(F.col("file")).alias("city"), "date", "subject", "review",
