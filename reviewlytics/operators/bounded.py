@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 MAX_LITERAL_KEYS = 1_000
 MAX_BROADCAST_ROWS = 500_000
-#: Files of so many bytes hold few enough rows to send them to every task.
-SMALL_BYTES = 8 << 20
+#: Files of so many bytes hold few enough rows to send them to every task, even if they unpack to a hundred times that.
+SMALL_BYTES = 1 << 20
 SALTS = 64
+#: Keys with more rows than ``HOT_ROWS`` are spread over ``SALTS`` tasks, the ``HOT_KEYS`` largest of them; another key
+#: then holds at most one in ``HOT_KEYS`` of all rows.
+HOT_ROWS = SALTS * 1_000
+HOT_KEYS = 1_000
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -43,8 +47,8 @@ def restrict_to_keys(
 
     A few keys become an IN list, which Catalyst pushes through aggregates down to the scan
     (row groups are skipped when the table is sorted by the key). More keys are broadcast, so
-    the tables stay in place. Only beyond that do both sides shuffle, the tables salted by position,
-    since one key may hold a large share of a table. The columns and their order stay at any size.
+    the tables stay in place. Only beyond that do both sides shuffle (``_spread_join``). The columns and
+    their order stay at any size.
     """
     distinct = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     found = rows_within(distinct, literal_bound)
@@ -56,16 +60,30 @@ def restrict_to_keys(
     how = "left_anti" if exclude else "left_semi"
     if small:
         return [df.join(F.broadcast(distinct), key, how).select(*df.columns) for df in tables]
-    salted_keys = distinct.withColumn("_salt", F.explode(_all_salts()))
-    return [_salted(df).join(salted_keys, [key, "_salt"], how).select(*df.columns) for df in tables]
+    return [_spread_join(df, distinct, key, how).select(*df.columns) for df in tables]
 
 
-def _all_salts():
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+def _salted(df: DataFrame, spread: Column) -> DataFrame:
+    position = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS).cast("bigint"))
+    return df.withColumn("_salt", F.when(spread, position).otherwise(F.lit(0).cast("bigint")))
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+def _spread_join(fact: DataFrame, dimension: DataFrame, on: str, how: str) -> DataFrame:
+    """Both sides shuffle. One key may hold a large share of the fact table, so the rows of such keys are
+    counted and salted by their position (stable for rows that come from a scan), and their dimension rows
+    repeated once per salt; all other dimension rows go once. Null keys meet nothing and are salted as well.
+
+    The hint keeps the join off the driver: the optimizer takes the repeated rows for as many as there were
+    before, and would broadcast them.
+    """
+    per_key = fact.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
+    large = per_key.filter(F.col(on).isNotNull() & (F.col("_rows") > HOT_ROWS))
+    hot = [row[0] for row in large.orderBy(F.desc("_rows")).limit(HOT_KEYS).collect()]
+    is_hot = F.col(on).isin(hot)
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    salted = dimension.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(F.array(F.lit(0).cast("bigint")))))
+    rows = _salted(fact, F.col(on).isNull() | is_hot)
+    return rows.join(salted.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def join_dimension(
@@ -78,15 +96,12 @@ def join_dimension(
     """Join a fact table to a narrow dimension (``how``: inner or left).
 
     Up to ``max_rows`` dimension rows are broadcast, so the fact rows stay where they are; they are
-    counted unless the size of their files already tells. Beyond that both sides shuffle. One key, or copies of one row, may make up a large share of
-    the fact table, so its rows are salted by their position (stable for rows that come from a
-    scan) and the dimension is repeated once per salt.
+    counted unless the size of their files already tells. Beyond that both sides shuffle (``_spread_join``).
     """
     known = max_rows >= MAX_BROADCAST_ROWS and known_small(dimension)
     if known or dimension.limit(max_rows + 1).count() <= max_rows:
         return fact.join(F.broadcast(dimension), on, how)
-    salted_dimension = dimension.withColumn("_salt", F.explode(_all_salts()))
-    return _salted(fact).join(salted_dimension, [on, "_salt"], how).drop("_salt")
+    return _spread_join(fact, dimension, on, how)
 
 
 def combine(left: DataFrame, right: DataFrame, right_key: str, bound: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlytics.operators import bounded
 from reviewlytics.operators.bounded import combine, join_dimension, restrict_to_keys, rows_within
 from reviewlytics.operators.ids import assign_ids, last_id, unique_ids
 
@@ -56,6 +57,39 @@ def test_restrict_to_keys(fact, rows, bounds, exclude):
     assert none.count() == (300 if exclude else 0)
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_large_sides_are_never_broadcast_and_only_hot_keys_repeated(monkeypatch, spark, fact, hot_rows, how, plan_of):
+    monkeypatch.setattr(bounded, "HOT_ROWS", hot_rows)
+    some = fact.withColumn("k", F.when(F.col("id") % 5 > 0, F.col("k")))
+    keys = spark.range(200).select(F.when(F.col("id") == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    if how in ("inner", "left"):
+        joined = join_dimension(some, keys.withColumn("d", F.length("k")), "k", how, max_rows=2)
+        expected = some.join(keys.withColumn("d", F.length("k")), "k", how)
+    else:
+        [joined] = restrict_to_keys([some], "k", keys, how == "left_anti", 1, 1)
+        expected = some.join(keys, "k", how)
+    assert "Broadcast" not in plan_of(joined)
+    assert joined.select(*expected.columns).exceptAll(expected).isEmpty() and joined.count() == expected.count()
+    sides, write = [], type(some).withColumn
+
+    def seen(df, name, column):
+        sides.append(write(df, name, column))
+        return sides[-1]
+
+    monkeypatch.setattr(type(some), "withColumn", seen)
+    bounded._spread_join(some, keys, "k", "left_semi")
+    # 200 keys of which one (none) is hot, not 64 times as many.
+    assert sides[0].count() == (200 + 63 if hot_rows == 10 else 200)
+
+
+def test_small_files_of_many_rows_are_counted(spark, tmp_path, plan_of):
+    many = spark.range(600_000).select("id", F.lit(None).cast("string").alias("city"))
+    many.coalesce(1).write.parquet(str(tmp_path / "dimension"))
+    stored = spark.read.parquet(str(tmp_path / "dimension"))
+    assert "Broadcast" not in plan_of(join_dimension(spark.range(10), stored, "id"))
+
+
 def test_rows_within(spark):
     assert len(rows_within(spark.range(5), 5)) == 5
     assert rows_within(spark.range(6), 5) is None
