@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that one worker remembers; beyond, it starts anew.
 REMEMBERED = 500_000
-_ODD = np.zeros(256, bool)
-_ODD[[0x3C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _ODD_TEXT = re.compile(
     rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 )
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_POINT = np.zeros(256, bool)
-_POINT[33:48] = _POINT[58:65] = _POINT[91:97] = _POINT[123:127] = True
+# Kinds of bytes: 1 blank, 2 other space, 3 ASCII letter, 4 ASCII punctuation, and a flag for the first bytes of what
+# may make a cut harmful.
+_FLAG = 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[9:14], _KIND[32] = 2, 1
+_KIND[65:91] = _KIND[97:123] = 3
+_KIND[33:48] = _KIND[58:65] = _KIND[91:97] = _KIND[123:127] = 4
+_KIND[[0x3C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] |= _FLAG
+_KINDS = _KIND.tobytes()
+# (kind << 3 | next kind): whether the text is cut before the next byte.
+_CUT = np.zeros(256, np.uint8)
+for _a in range(5):
+    for _b in range(5):
+        _CUT[_a << 3 | _b] = (_b in (1, 2) and _a not in (1, 2)) or (_a == 2 and _b not in (1, 2)) or (_a, _b) == (3, 4)
+_CUTS = _CUT.tobytes()
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -68,9 +76,10 @@ class Encoder:
         found, others = [None] * len(pieces), []
         for k, x in enumerate(pieces):
             word = x[1:] if x[:1] == " " else x
-            if word.isalpha() and max(word) < "\u0100":
+            if word.isalpha() and (word.isascii() or max(word) < "\u0100"):
                 word = word.lower() if self.lower else x
-                word = word.encode().decode("latin-1").translate(self.letters)
+                if x[0] == " " or not x.isascii():
+                    word = word.encode().decode("latin-1").translate(self.letters)
                 found[k] = [t.id for t in self.model.tokenize(word)]
             else:
                 others.append(k)
@@ -85,7 +94,7 @@ class Encoder:
         while first + len(found) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.size[first : first + len(found)] = sizes
         self.start[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
@@ -105,23 +114,17 @@ class Encoder:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
-        space = _SPACE[data]
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        cut[1:] |= space[:-1] & (data[:-1] != 32) & ~space[1:]
-        cut[1:] |= _LETTER[data[:-1]] & _POINT[data[1:]]
-        cut[0] = True
+        kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+        odd = np.flatnonzero(kinds & _FLAG)
+        kinds = kinds & (_FLAG - 1)
+        cut = np.ones(len(data), bool)
+        cut[1:] = np.frombuffer((kinds[:-1] << 3 | kinds[1:]).tobytes().translate(_CUTS), bool)
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        odd = np.flatnonzero(_ODD[data])
-        whole = np.zeros(rows, bool)
         if len(odd):
             for r in np.unique(np.searchsorted(offsets, odd, side="right") - 1):
-                whole[r] = bool(_ODD_TEXT.search(data[offsets[r] : offsets[r + 1]].tobytes()))
+                if _ODD_TEXT.search(data[offsets[r] : offsets[r + 1]].tobytes()):
+                    cut[offsets[r] + 1 : offsets[r + 1]] = False
         begins = np.flatnonzero(cut)
-        row = np.searchsorted(offsets, begins, side="right") - 1
-        if whole.any():
-            keep = ~whole[row] | (begins == offsets[row])
-            begins, row = begins[keep], row[keep]
         cuts = np.append(begins, len(data)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
@@ -130,7 +133,7 @@ class Encoder:
         ids = self.ids[np.repeat(self.start[numbers], sizes) + ranks(sizes)]
         before = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=before[1:])
-        return ids, before[np.searchsorted(row, np.arange(rows + 1))]
+        return ids, before[np.searchsorted(begins, offsets)]
 
 
 def encoder(path: str) -> Encoder:

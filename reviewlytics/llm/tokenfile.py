@@ -35,7 +35,9 @@ from reviewlytics.llm.encoding import encoder, with_end
 MAGIC = b"TKR1"
 HEAD = struct.Struct("<4sIIIII")
 BLOCK_IDS = 1024
-LANES = 2048
+LANES = 1024
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 20
 #: Entries of each prediction table of a lane.
 SLOTS = 1 << 9
 #: Classes of the order-0 model: ids below 2^NARROW, one per bit length up to 16, and the rest, which
@@ -213,15 +215,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         lanes = order[begin : begin + LANES]
         sizes = np.array([len(blocks[k]) for k in lanes])
         steps = int(sizes[0])
-        grid = np.zeros((steps, len(lanes)), np.int64)
+        grid = np.zeros((steps, len(lanes)), np.uint32)
         for j, k in enumerate(lanes):
             grid[: sizes[j], j] = blocks[k]
-        columns = _column(grid)
-        evens = _EVEN[columns]
-        values = np.where(columns == WIDE, grid >> 16, grid - _FLOOR[columns]).astype(np.uint64)
         model, coder = _Model(len(lanes)), _Coder(len(lanes), steps + 16)
         for t, n in enumerate(_grid(sizes).tolist()):
-            ids = grid[t, :n]
+            ids = grid[t, :n].astype(np.int64)
             a, b, c = model.predict(n)
             hit2, hit1 = ids == model.p2, ids == model.p1
             total = a + b + c
@@ -232,14 +231,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             miss = choice == 2
             rows = np.flatnonzero(miss)
             if len(rows):
-                column = columns[t, :n]
+                column = _column(ids)
+                value = np.where(column == WIDE, ids >> 16, ids - _FLOOR.take(column)).astype(np.uint64)
                 sums = model.bit_sums(n)
                 at = column * model.lanes + model.lane[:n]
                 part = model.bits.ravel().take(at)
                 start = sums.ravel().take(at) - part
                 unit = _share(size, sums[-1, :n])
-                narrow = (unit * part.astype(np.uint64)) >> evens[t, :n]
-                lower = low + unit * start.astype(np.uint64) + narrow * values[t, :n]
+                narrow = (unit * part.astype(np.uint64)) >> _EVEN.take(column)
+                lower = low + unit * start.astype(np.uint64) + narrow * value
                 low = np.where(miss, lower, low)
                 size = np.where(miss, narrow, size)
                 model.saw(rows, column[rows], sums[-1].take(rows))
@@ -372,7 +372,7 @@ def _records(path: str, end_id: int, block_ids: int):
                 number, pending, ends = number + len(records), [], []
 
         open_ends: list[tuple[int | None, int]] = []
-        for batch, data, offsets in chunks(batches, "text"):
+        for batch, data, offsets in chunks(batches, "text", TEXT_BYTES):
             ids, before = with_end(*encoder(path).encode(data, offsets), end_id)
             docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             open_ends += zip(docs, (before[1:] + len(rest)).tolist())

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -80,3 +81,14 @@ def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     tokenfile.write_tokens(docs, str(tmp_path / "x"), PATH)
     assert tokenfile.read_tokens(spark, str(tmp_path / "x")).count() == 0
+
+
+def test_memory_of_the_coder_is_a_few_times_its_lanes():
+    rng = np.random.default_rng(1)
+    ids = [(rng.zipf(1.3, tokenfile.BLOCK_IDS) % 50_000).astype(np.uint32) for _ in range(2048)]
+    tracemalloc.start()
+    payloads = tokenfile.encode_blocks(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # 8 MB of ids
+    assert np.array_equal(tokenfile.decode_blocks(payloads[-1:], [len(ids[-1])])[0], ids[-1])

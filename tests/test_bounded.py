@@ -57,7 +57,7 @@ def test_restrict_to_keys(fact, rows, bounds, exclude):
     assert none.count() == (300 if exclude else 0)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1000])
+@pytest.mark.parametrize("hot_rows", [50, 1000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_large_sides_are_never_broadcast_and_only_hot_keys_repeated(monkeypatch, spark, fact, hot_rows, how, plan_of):
     monkeypatch.setattr(bounded, "HOT_ROWS", hot_rows)
@@ -80,7 +80,7 @@ def test_large_sides_are_never_broadcast_and_only_hot_keys_repeated(monkeypatch,
     monkeypatch.setattr(type(some), "withColumn", seen)
     bounded._spread_join(some, keys, "k", "left_semi")
     # 200 keys of which one (none) is hot, not 64 times as many.
-    assert sides[0].count() == (200 + 63 if hot_rows == 10 else 200)
+    assert sides[0].count() == (200 + 63 if hot_rows == 50 else 200)
 
 
 def test_small_files_of_many_rows_are_counted(spark, tmp_path, plan_of):
