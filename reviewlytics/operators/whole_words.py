@@ -72,7 +72,9 @@ def _joined(review: DataFrame, seed: DataFrame, keep: list[str], text: str, once
     salt = F.when(spread, F.pmod(F.xxhash64("_row"), F.lit(SALTS).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     salts = F.when(spread, F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
     salted = listed.drop("_length").withColumn("_salt", F.explode(salts))
-    return found.withColumn("_salt", salt).join(salted, ["_phrase", "_salt"]).drop("_phrase", "_salt")
+    # Both sides shuffle whatever their size: the optimizer may take repeated seeds, or what it knows of the found
+    # sequences, for little enough to broadcast.
+    return found.withColumn("_salt", salt).join(salted.hint("merge"), ["_phrase", "_salt"]).drop("_phrase", "_salt")
 
 
 def match_whole_words(review: DataFrame, seed: DataFrame, keep: list[str], text: str = "review_text") -> DataFrame:
