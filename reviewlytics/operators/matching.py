@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -126,6 +127,26 @@ def _count_matches(automaton, folded: str) -> dict[int, int]:
     return counts
 
 
+def _hits_of(texts: pa.Array, automata: list[tuple]) -> pa.Array:
+    """Hits of each folded text. One text at a time is a Python string, and hits are kept as plain numbers: a worker
+    holds what Spark has sent it and little else, however many rows and hits that is."""
+    offsets, columns = array("i", [0]), [array("q") for _ in range(4)]
+    for text in texts:
+        folded = text.as_py() or ""
+        for automaton, by_phrase, seeds in automata:
+            for first, count in _count_matches(automaton, folded).items():
+                for nth in by_phrase[seeds[first][0]]:
+                    for column, value in zip(columns, (*seeds[nth][1:], count)):
+                        column.append(value)
+        offsets.append(len(columns[0]))
+    structs = pa.StructArray.from_arrays(
+        [pa.Array.from_buffers(pa.int64(), len(column), [None, pa.py_buffer(column)]) for column in columns],
+        ["seed_id", "feature_id", "weight", "mentions"],
+    )
+    ends = pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)])
+    return pa.ListArray.from_arrays(ends, structs)
+
+
 def _plain_hits(text: Column, batches: list[SeedBatch], spark) -> Column:
     sent = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b.plain)) for b in batches]
 
@@ -133,19 +154,7 @@ def _plain_hits(text: Column, batches: list[SeedBatch], spark) -> Column:
     def hits_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automata = [(*_automaton(name, seeds.value), seeds.value) for name, seeds in sent]
         for texts in parts:
-            offsets, columns = [0], ([], [], [], [])
-            for folded in texts.to_pylist():
-                for automaton, by_phrase, seeds in automata:
-                    for first, count in _count_matches(automaton, folded or "").items():
-                        for nth in by_phrase[seeds[first][0]]:
-                            for column, value in zip(columns, (*seeds[nth][1:], count)):
-                                column.append(value)
-                offsets.append(len(columns[0]))
-            structs = pa.StructArray.from_arrays(
-                [pa.array(column, pa.int64()) for column in columns],
-                ["seed_id", "feature_id", "weight", "mentions"],
-            )
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+            yield _hits_of(texts, automata)
 
     return hits_of(fold_text(text))
 

@@ -6,6 +6,9 @@ import random
 import re
 import string
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,17 @@ def test_the_text_is_read_once_and_never_shuffled(tables, plan_of, way):
         assert plan.count("Scan") == 1 and "Union" not in plan
         assert "Exchange" not in plan and "Join" not in plan and "Cartesian" not in plan
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_worker_holds_one_text_at_a_time():
+    seeds = (("ab", 1, 1, 1), ("zz", 2, 1, -1), ("c", 3, 2, 0))
+    automata = [(*matching._automaton("one text", seeds), seeds)]
+    texts = pa.array([None, "", *["xabc " * 4_000] * 2_000])  # 40 MB
+    tracemalloc.start()
+    hits = matching._hits_of(texts, automata)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert hits[:2].to_pylist() == [[], []]
+    found = [{"seed_id": i, "feature_id": f, "weight": w, "mentions": 4_000} for i, f, w in ((1, 1, 1), (3, 2, 0))]
+    assert sorted(hits[2].as_py(), key=lambda h: h["seed_id"]) == found and len(hits) == 2_002
