@@ -128,21 +128,22 @@ def _count_matches(automaton, folded: str) -> dict[int, int]:
 
 
 def _hits_of(texts: pa.Array, automata: list[tuple]) -> pa.Array:
-    """Hits of each folded text. One text at a time is a Python string, and hits are kept as plain numbers: a worker
-    holds what Spark has sent it and little else, however many rows and hits that is."""
-    offsets, columns = array("i", [0]), [array("q") for _ in range(4)]
+    """Hits of each folded text. One text at a time is a Python string, and hits are kept as plain numbers (the place
+    of the seed, its mentions): a worker holds what Spark has sent it and little else, however many rows and hits that is."""
+    offsets, found, mentions = array("i", [0]), array("q"), array("q")
     for text in texts:
-        folded = text.as_py() or ""
+        folded, base = text.as_py() or "", 0
         for automaton, by_phrase, seeds in automata:
             for first, count in _count_matches(automaton, folded).items():
                 for nth in by_phrase[seeds[first][0]]:
-                    for column, value in zip(columns, (*seeds[nth][1:], count)):
-                        column.append(value)
-        offsets.append(len(columns[0]))
-    structs = pa.StructArray.from_arrays(
-        [pa.Array.from_buffers(pa.int64(), len(column), [None, pa.py_buffer(column)]) for column in columns],
-        ["seed_id", "feature_id", "weight", "mentions"],
-    )
+                    found.append(base + nth)
+                    mentions.append(count)
+            base += len(seeds)
+        offsets.append(len(found))
+    places, counts = (pa.Array.from_buffers(pa.int64(), len(c), [None, pa.py_buffer(c)]) for c in (found, mentions))
+    # Values of a seed may be null.
+    columns = [pa.array([seed[k] for *_, seeds in automata for seed in seeds], pa.int64()).take(places) for k in (1, 2, 3)]
+    structs = pa.StructArray.from_arrays([*columns, counts], ["seed_id", "feature_id", "weight", "mentions"])
     ends = pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)])
     return pa.ListArray.from_arrays(ends, structs)
 

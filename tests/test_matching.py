@@ -127,8 +127,8 @@ def test_the_text_is_read_once_and_never_shuffled(tables, plan_of, way):
 
 
 def test_a_worker_holds_one_text_at_a_time():
-    seeds = (("ab", 1, 1, 1), ("zz", 2, 1, -1), ("c", 3, 2, 0))
-    automata = [(*matching._automaton("one text", seeds), seeds)]
+    batches = ((("ab", 1, 1, 1), ("zz", 2, 1, -1)), (("yy", 4, 1, 1), ("c", 3, None, 0)))
+    automata = [(*matching._automaton(f"one text {k}", seeds), seeds) for k, seeds in enumerate(batches)]
     texts = pa.array([None, "", *["xabc " * 4_000] * 2_000])  # 40 MB
     tracemalloc.start()
     hits = matching._hits_of(texts, automata)
@@ -136,5 +136,5 @@ def test_a_worker_holds_one_text_at_a_time():
     tracemalloc.stop()
     assert peak < 4 << 20
     assert hits[:2].to_pylist() == [[], []]
-    found = [{"seed_id": i, "feature_id": f, "weight": w, "mentions": 4_000} for i, f, w in ((1, 1, 1), (3, 2, 0))]
+    found = [{"seed_id": i, "feature_id": f, "weight": w, "mentions": 4_000} for i, f, w in ((1, 1, 1), (3, None, 0))]
     assert sorted(hits[2].as_py(), key=lambda h: h["seed_id"]) == found and len(hits) == 2_002
