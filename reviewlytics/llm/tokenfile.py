@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlytics.llm.common import chunks
+from reviewlytics.llm.common import chunks, settings
 from reviewlytics.llm.encoding import encoder, with_end
 
 MAGIC = b"TKR1"
@@ -38,6 +38,11 @@ BLOCK_IDS = 1024
 LANES = 1024
 #: Bytes of text that are encoded at once.
 TEXT_BYTES = 1 << 20
+#: Executors hold whole texts in batches of so many bytes and rows instead of 64 MB and 4,096 rows: a task gets no more
+#: at once than it encodes at once, and scanned texts need no arrays of many MB.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "256",
+}
 #: Entries of each prediction table of a lane.
 SLOTS = 1 << 9
 #: Classes of the order-0 model: ids below 2^NARROW, one per bit length up to 16, and the rest, which
@@ -410,7 +415,8 @@ def write_tokens(
     spread = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     spread = spread.repartitionByRange(F.col("doc_id").asc_nulls_first())
     spread = spread.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    spread.mapInArrow(_records(path, end_id, block_ids), RECORDS).write.mode("overwrite").parquet(folder)
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        spread.mapInArrow(_records(path, end_id, block_ids), RECORDS).write.mode("overwrite").parquet(folder)
 
 
 def _documents(with_ids: bool):

@@ -4,9 +4,11 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlytics.llm import encoding, tokenfile
+from reviewlytics.llm.common import settings
 from reviewlytics.llm.queries import vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
@@ -92,3 +94,35 @@ def test_memory_of_the_coder_is_a_few_times_its_lanes():
     tracemalloc.stop()
     assert peak < 32 << 20  # 8 MB of ids
     assert np.array_equal(tokenfile.decode_blocks(payloads[-1:], [len(ids[-1])])[0], ids[-1])
+
+
+def test_tasks_get_whole_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    def sizes(path, end_id, block_ids):
+        def run(batches):
+            for k, batch in enumerate(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in ((0, pa.int32()), (k, pa.int32()), (batch.nbytes, pa.int32()), (b"", pa.binary()))],
+                    names=["part", "block", "n_ids", "record"],
+                )
+
+        return run
+
+    monkeypatch.setattr(tokenfile, "_records", sizes)
+    spark.range(1500).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text").write.parquet(str(tmp_path / "docs"))
+    before = [spark.conf.get(key, None) for key in tokenfile.SMALL_BATCHES]
+    tokenfile.write_tokens(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "x"), PATH)
+    got = [r["n_ids"] for r in spark.read.parquet(str(tmp_path / "x")).collect()]
+    assert sum(got) > 15_000_000 and max(got) < 2 * tokenfile.TEXT_BYTES
+    assert [spark.conf.get(key, None) for key in tokenfile.SMALL_BATCHES] == before
+
+
+def test_settings_come_back(spark):
+    one, two = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(two, "2048")
+    try:
+        with pytest.raises(ZeroDivisionError), settings(spark, {one: "1000", two: "64"}):
+            assert [spark.conf.get(key) for key in (one, two)] == ["1000", "64"]
+            1 / 0
+        assert spark.conf.get(one, None) is None and spark.conf.get(two) == "2048"
+    finally:
+        spark.conf.unset(two)
