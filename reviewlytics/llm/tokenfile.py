@@ -139,7 +139,8 @@ def _renewed(low, size):
     move = np.flatnonzero(settled | small)
     if len(move):
         stuck = (small & ~settled)[move]
-        low, size = low[move], size[move]
+        # All 2^48 values of a settled word lose one: shifted, their number would be 2^64, that is 0, and settled for ever.
+        low, size = low[move], np.minimum(size[move], _LOW48)
         if stuck.any():
             size = np.where(stuck, (~low + _ONE) & _LOW48, size)
     return move, low, size

@@ -126,3 +126,36 @@ def test_settings_come_back(spark):
         assert spark.conf.get(one, None) is None and spark.conf.get(two) == "2048"
     finally:
         spark.conf.unset(two)
+
+
+@pytest.fixture
+def few_renewals(monkeypatch):
+    """Fails a coder whose intervals are renewed without end."""
+    left, real = [20_000], tokenfile._renewed
+
+    def counted(low, size):
+        left[0] -= 1
+        assert left[0] > 0, "an interval is renewed without end"
+        return real(low, size)
+
+    monkeypatch.setattr(tokenfile, "_renewed", counted)
+
+
+def test_interval_of_one_whole_word_is_renewed_once(few_renewals):
+    word = 1 << 48
+    # Cut at the word's end the second to fourth become 2^48 values of one word; the first and the last have them at once.
+    lows = [word, 2 * word - (1 << 32), 2 * word - (1 << 16), 2 * word - 1, 0xFFFF * word]
+    coder = tokenfile._Coder(len(lows), 16)
+    coder.low[:], coder.size[:] = lows, [word, word - 1, word - 1, word - 1, word]
+    coder.renew(len(lows))
+    assert (coder.size > word).all() and coder.at.tolist() == [1, 2, 3, 4, 1]
+
+
+def test_blocks_whose_interval_fills_a_word_survive(few_renewals):
+    for seed, phrases, length, lane in ((92, 8, 40, 930), (538, 20, 20, 296)):
+        rng = np.random.default_rng(seed)
+        known = rng.integers(0, 50_000, (phrases, length)).astype(np.uint32)
+        blocks = [known[rng.integers(0, phrases, 1024 // length + 1)].ravel()[:1024] for _ in range(lane + 1)]
+        payloads = tokenfile.encode_blocks(blocks[-2:])
+        for got, ids in zip(tokenfile.decode_blocks(payloads, [1024, 1024]), blocks[-2:]):
+            assert np.array_equal(got, ids)
